@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, simhash
+from . import bpe, licences, nearest, packing, passages, pii, quality, quotes, simhash, suffixes
 from .common import durable
 
+#: The key of the surrogates in these queries; a deployment has its own secret.
+KEY = "quillvec example key"
+
 
 def vocabulary() -> str:
     import public_tokenizers
@@ -27,10 +30,43 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, ["doc_id", "piece", "ids_crc32"], 2048)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda p: p["kind"]))), ",")
+    return made.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), kinds.alias("kinds"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(rows, F.col("vec_id") % 100 == 0, 10, "vec_id", "embedding")
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", none.alias("page_id"), F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text")
+    pages = table(spark, sf_dir, "pages").select(none.alias("doc_id"), "page_id", licences.page_path(F.col("url")).alias("path"), licences.page_text(F.col("html")).alias("text"))
+    made = licences.scan(docs.unionByName(pages), keep=["doc_id", "page_id", "path"])
+    return made.withColumn("score", F.round("score", 6))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 3)
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.thread(table(spark, sf_dir, "conversations"))
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return made.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"])
     return bpe.decode(ids, vocabulary()).select("doc_id", *bpe.digests(ids))
@@ -42,5 +78,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op5_simhash, op9_bpe, op10_quality_rules)
-}
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_pii_surrogates, op3_nearest, op4_licences, op5_simhash, op6_quotation_linking, op7_passages, op8_suffix_array, op9_bpe, op10_quality_rules,
+    )
+}
