@@ -17,20 +17,27 @@ encoding of a word is the only path that spells it.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
-import unicodedata
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-#: Distinct chunks of text whose encoding a worker keeps; more are encoded anew after the store is emptied.
-CHUNKS_KEPT = 400_000
+#: Distinct words whose encoding a worker keeps; the store is emptied when it is full.
+WORDS_KEPT = 1_000_000
+# The pre-splitting pattern of such files, for texts of Latin-1 characters in lower case, where it can be said without Unicode classes.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LATIN = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+_PIECE = 1 << 16  # characters that the library is given at once
+_HEAD = 6  # symbols by which the arcs that may go on are looked up
 _END = "\0"  # marks the end of a word inside the automaton; byte-level symbols never hold it
 
 
@@ -54,10 +61,12 @@ class MergeAutomaton:
         size = max(vocab.values(), default=-1) + 1
         self.ids = {inner(s): i for s, i in vocab.items()}
         self.end = _END if end else ""
-        self.reach: dict[str, int] = {}  # length of the longest token that starts so
+        self.far: dict[str, int] = {}  # length of the longest token of more than _HEAD symbols that starts so
         for s in self.ids:
-            if len(s) > self.reach.get(s[:3], 3):
-                self.reach[s[:3]] = len(s)
+            if len(s) > max(_HEAD, self.far.get(s[:_HEAD], 0)):
+                self.far[s[:_HEAD]] = len(s)
+        self.tails: dict[tuple[int, str], tuple | None] = {}  # ends of paths, as they are met
+        self.heads: dict[str, tuple] = {}  # tokens that start some symbols, longest first, as they are met
         self.labels: list[str | None] = [None] * size
         for s, i in vocab.items():
             self.labels[i] = s
@@ -107,37 +116,78 @@ class MergeAutomaton:
         text = word + self.end
         if (whole := self.ids.get(text)) is not None and self.reached(whole):
             return [whole]
-        n, ids, reach = len(text), self.ids, self.reach.get
+        n, ids, heads, far, table = len(text), self.ids, self.heads, self.far, self.table
         path: list[int] = []
-        starts, ends = [], []  # of the tokens on the path
+        starts: list[int] = []
         dead: set[tuple[int, int]] = set()  # places and tokens from which no path leads on
-        table, i, last = self.table, 0, -1
-        j = min(n, reach(text[:3], 3))
+        i, last, below = 0, -1, n + 1  # next place, state, and the length that the next token must be under
+        tails = self.tails
         while i < n:
-            while j > i:
-                t = ids.get(text[i:j])
-                if t is not None and (not dead or (j, t) not in dead):
+            if n - i <= _HEAD and last >= 0 and below > n:
+                rest = text[i:]
+                ending = tails.get((last, rest), 0)
+                if ending == 0:
+                    ending = self._ending(last, rest)
+                if ending is not None:
+                    path += ending
+                    return path
+                dead.add((i, path.pop()))
+                below = i - starts[-1]
+                i = starts.pop()
+                last = path[-1] if path else -1
+                continue
+            head = text[i : i + _HEAD]
+            options = heads.get(head)
+            if options is None:
+                options = self._options(head)
+            if head in far and below > _HEAD + 1:
+                top = min(n - i, far[head], below - 1)
+                options = [(m, t) for m in range(top, _HEAD, -1) if (t := ids.get(text[i : i + m])) is not None] + list(options)
+            for m, t in options:
+                if m < below and (not dead or (i + m, t) not in dead):
                     if last < 0:
                         break
                     if (open_ := table.get(last << 32 | t)) is None:
                         open_ = self.arc(last, t)
                     if open_:
                         break
-                j -= 1
-            if j > i:
-                starts.append(i)
-                ends.append(j)
-                path.append(t)
-                i, last = j, t
-                j = min(n, i + reach(text[i : i + 3], 3))
-            elif path:
+            else:
+                if not path:
+                    raise ValueError(f"no path spells {word!r}")
                 dead.add((i, path.pop()))
-                i, j = starts.pop(), ends.pop() - 1
+                below = i - starts[-1]
+                i = starts.pop()
                 last = path[-1] if path else -1
-            else:
-                raise ValueError(f"no path spells {word!r}")
+                continue
+            starts.append(i)
+            path.append(t)
+            i, last, below = i + m, t, n + 1
         return path
 
+    def _ending(self, last: int, rest: str) -> tuple | None:
+        """The path from state ``last`` that spells ``rest``, of up to _HEAD symbols; None if there is none."""
+        if len(self.tails) > 500_000:
+            self.tails.clear()
+        found = None
+        for m, t in self.heads.get(rest) or self._options(rest):
+            if self.arc(last, t):
+                if m == len(rest):
+                    found = (t,)
+                    break
+                key = (t, rest[m:])
+                more = self.tails[key] if key in self.tails else self._ending(*key)
+                if more is not None:
+                    found = (t, *more)
+                    break
+        self.tails[last, rest] = found
+        return found
+
+    def _options(self, head: str) -> tuple:
+        if len(self.heads) > 300_000:
+            self.heads.clear()
+        found = self.heads[head] = tuple((m, t) for m in range(len(head), 0, -1) if (t := self.ids.get(head[:m])) is not None)
+        return found
+
     def reached(self, token: int) -> bool:
         """Whether merges build this token from its own symbols."""
         return self.born[token] < 0 or self.arc_at(token)
@@ -169,18 +219,21 @@ class MergeAutomaton:
                 until, x = bx, self.copied_label[x]
 
 
-class _Chunks(dict):
-    """Encoded chunks; a missing one is made by ``make``."""
+class _Words(dict):
+    """Encoded words; a missing one is made by ``make``."""
 
     def __init__(self, make):
         self.make = make
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.make(chunk)
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        ids = self[word] = self.make(word)
+        return ids
 
 
 class Codec:
-    """Normalises, pre-splits and encodes texts as a word-end BPE file of the tokenizers library says; keeps chunks."""
+    """Normalises, pre-splits and encodes texts as a word-end BPE file of the tokenizers library says; keeps encoded words."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -188,60 +241,75 @@ class Codec:
         model = spec["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
             raise ValueError("only byte-level BPE with word ends is supported")
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.latin = steps == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == _SPLIT
         self.automaton = MergeAutomaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+        self.symbols = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.labels = list(self.automaton.labels)
         for s, i in self.special.items():
             self.labels += [None] * (i + 1 - len(self.labels))
             self.labels[i] = s
-        self.known = _Chunks(self._chunk)
-        self.word_ids: dict[str, list[int]] = {}
-
-    def _split(self, piece: str) -> list[str]:
-        """Words of byte symbols of a piece without white space or special tokens."""
-        if max(piece, default="") < "ɐ":  # Latin: the Unicode versions at hand agree here
-            low = unicodedata.normalize("NFC", piece).lower()
-            table = self.symbols
-            words = self.words.findall(low)
-            return words if low.isascii() and low.isprintable() else ["".join([table[b] for b in w.encode()]) for w in words]
-        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
-
-    def _chunk(self, chunk: str) -> bytes:
-        out = array("i")
-        for piece in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
-            if piece in self.special:
-                out.append(self.special[piece])
-                continue
-            for word in self._split(piece):
-                if (ids := self.word_ids.get(word)) is None:
-                    if len(self.word_ids) >= CHUNKS_KEPT:
-                        self.word_ids.clear()
-                    ids = self.word_ids[word] = self.automaton.encode(word)
-                out.extend(ids)
-        found = out.tobytes()
-        if len(chunk) < 200:
-            if len(self.known) >= CHUNKS_KEPT:
-                self.known.clear()
-            self.known[chunk] = found
-        return found
+        self.words = _Words(self._word)
+        self.symbol_words = _Words(self._symbols)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case Latin word."""
+        table = self.symbols
+        return self._symbols(word if word.isascii() and word.isprintable() else "".join([table[b] for b in word.encode()]))
+
+    def _symbols(self, word: str) -> bytes:
+        """Ids of a word of byte symbols."""
+        return array("i", self.automaton.encode(word)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as 32-bit integers of this machine's byte order."""
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # str.split parts here, the library does not
-        return b"".join(map(self.known.__getitem__, regex.split(r"\s+", text) if odd else text.split()))
-
-    def decode(self, ids: list[int]) -> str:
-        """What the arcs emit, parted by blanks: such files have no decoder, so the library joins the labels."""
-        labels = self.labels
-        try:
-            return " ".join([labels[i] for i in ids])
-        except (IndexError, TypeError):
-            return " ".join([labels[i] for i in ids if 0 <= i < len(labels) and labels[i] is not None])
+        if self.cut and "<" in text and len(pieces := self.cut.split(text)) > 1:
+            return b"".join([array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in pieces])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        if self.latin:
+            try:
+                text.encode("latin-1")  # such a text is in form NFC, and the Unicode versions at hand agree about it
+            except UnicodeEncodeError:
+                pass
+            else:
+                return b"".join(map(self.words.__getitem__, _LATIN.findall(text.lower())))
+        # White space parts words in any case, so the library may split a long text piece by piece.
+        known = self.symbol_words
+        return b"".join([known[w] for at in range(0, len(text), _PIECE) for w in self._split(text, at)])
+
+    def _split(self, text: str, at: int) -> list[str]:
+        """Words of byte symbols of the blank-ended pieces that start in one stretch of a text."""
+        start = 0 if not at else text.find(" ", at - 1) + 1
+        end = len(text) if at + _PIECE >= len(text) or (end := text.find(" ", at + _PIECE - 1)) < 0 else end + 1
+        if at and not start or start >= end:
+            return []
+        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text[start:end]))]
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """What the arcs emit for each list of ids, parted by blanks: such files have no decoder, so the library joins the labels.
+
+        Null lists give an empty text; null ids and ids outside the vocabulary give nothing.
+        """
+        offsets = ids.offsets.to_numpy()
+        flat = ids.flatten() if not ids.null_count else pa.compute.fill_null(ids, pa.scalar([], ids.type)).flatten()
+        if ids.null_count:
+            offsets = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy())))
+        offsets = offsets - offsets[0]
+        emitted = pa.array(self.labels, pa.large_string())
+        at = flat.to_numpy(zero_copy_only=False)
+        good = np.isfinite(at) & (at >= 0) & (at < len(self.labels))
+        if flat.null_count or not good.all():
+            at = np.where(good, at, 0).astype(np.int64)
+            good &= emitted.is_valid().to_numpy(zero_copy_only=False)[at]
+            offsets = np.concatenate(([0], np.cumsum(good)))[offsets]
+            at = at[good]
+        return pa.compute.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), emitted.take(pa.array(at))), pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 @lru_cache(maxsize=4)
@@ -289,14 +357,13 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", keep:
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """``df`` with ``to``: the text of each list of ids. Null lists give an empty text, ids outside the vocabulary nothing."""
+    """``df`` with ``to``: the text of each list of ids; see :meth:`Codec.decode`."""
     keep = [c for c in df.columns if c != to]
 
     def run(batches):
         its = codec(path)
         for b in small(batches):
-            texts = [its.decode(x or []) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, to])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), its.decode(b.column(ids))], names=[*keep, to])
 
     return df.select(*keep).mapInArrow(run, df.select(*keep).schema.add(to, "string"))
 
