@@ -1,0 +1 @@
+"""A PySpark engine for text embedding and vector retrieval."""
