@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import components, durable
+from .common import components, durable, prepared
 
 BITS = 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width; short ones are padded with zero bits
@@ -256,3 +256,57 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return made.join(of, F.col("fingerprint") == F.col("_of")).select(
         key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def shingles(text: str, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the lower-cased word shingles of a text (fewer words: one of the whole sequence; none: none)."""
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in joined]), np.dtype(">u8")).astype(np.uint64))
+
+
+def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, most: int = 3, verify: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``df`` without near duplicates: of each group, the row with the smallest ``key`` stays.
+
+    Groups are the components of fingerprints over ``words``-word shingles that differ in at most ``most`` bits. A member goes if its text has a Jaccard
+    similarity of at least ``similarity`` with the staying row's, over sets of ``verify``-word shingles; texts that only their fingerprints join stay.
+    Texts without a word are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are one, whichever stays.
+    """
+    names = df.columns
+    rows = prepared(df, key, text)
+    at = F.struct("_doc", "_turn")
+    keyed = rows.select(at.alias("_key"), F.col(text).alias("_text"))
+    found = near_duplicates(keyed, "_key", "_text", words, most)
+    found = durable(found.select(F.col("_key._doc").alias("_d"), F.col("_key._turn").alias("_t"), "fingerprint", F.col("component_id").alias("_head")))
+    lone = F.struct(F.col("_d").alias("_doc"), F.col("_t").alias("_turn")) == F.col("_head")
+    members = found.where(~lone)
+    heads = members.select(F.col("_head._doc").alias("_d"), F.col("_head._turn").alias("_t")).distinct().withColumn("_head", F.lit(None).cast(found.schema["_head"].dataType))
+    involved = members.select("_d", "_t", "_head").unionByName(heads)
+    texts = rows.select("_doc", "_turn", F.col(text).alias("_text")).join(involved, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")))
+
+    def hashed(batches):
+        for b in bpe.small(batches):
+            sets = [shingles(x, verify).tobytes() for x in bpe.texts_of(b.column("_text"))]
+            yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_t"), b.column("_head"), pa.array(sets, pa.binary())], names=["_d", "_t", "_head", "_set"])
+
+    kinds = found.schema["_head"].dataType.simpleString()
+    sets = durable(texts.select("_d", "_t", "_head", "_text").mapInArrow(hashed, f"_d long, _t int, _head {kinds}, _set binary"))
+    of = sets.where("_head is null").select(F.struct(F.col("_d").alias("_doc"), F.col("_t").alias("_turn")).alias("_of"), F.col("_set").alias("_other"))
+    pairs = sets.where("_head is not null").join(of, F.col("_head") == F.col("_of")).select("_d", "_t", "_set", "_other")
+
+    def compared(batches):
+        for b in bpe.small(batches):
+            near = []
+            for x, y in zip(b.column("_set").to_pylist(), b.column("_other").to_pylist(), strict=True):
+                if x == y:
+                    near.append(True)
+                    continue
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                near.append(both >= similarity * (len(u) + len(v) - both))
+            yield b.select(["_d", "_t"]).filter(pa.array(near, pa.bool_()))
+
+    gone = durable(pairs.mapInArrow(compared, "_d long, _t int"))
+    return rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")), "left_anti").select(*names)

@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import durable
+from .common import durable, prepared
 
 GRAM = 32
 QUARTERS = 4
@@ -390,14 +390,6 @@ def repeats(df: DataFrame, size: int = 100, key: str = "doc_id", text: str = "te
     return covers.groupBy(F.col("doc").alias("_d"), F.col("turn").alias("_t")).agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("spans"))
 
 
-def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` with _doc (the key; null sorts first) and _turn, which tells rows of one key apart by their text."""
-    made = df.withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    twice = made.groupBy("_doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    turn = F.row_number().over(Window.partitionBy("_doc").orderBy(F.coalesce(text, F.lit("")))) - 1 if twice else F.lit(0)
-    return made.withColumn("_turn", turn.cast("int"))
-
-
 def dedup(df: DataFrame, size: int = 100, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """Columns ``keep`` (all but the text, unless given), n_bytes, spans (removed byte intervals), rest (the bytes that stay).
 
