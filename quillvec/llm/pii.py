@@ -42,19 +42,19 @@ _GIVEN = "(?:" + "|".join(FEMALE_NAMES + MALE_NAMES) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in order of precedence, with what matches them; the order of the alternatives decides where several match at one place.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": r"(?<=(?:token|secret|passwd|password|api_key|apikey|access_key|private_key)[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_/+.=-]{12,}|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]\d)",
     "card": r"(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE} {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:{_TITLE} {_NAME}(?: {_NAME})?|{_GIVEN} {_NAME})(?![\p{{L}}\p{{N}}])",
 }
 _CARD = PATTERNS["card"].replace(r"([ -])\d{4}\1\d{4}\1", r"(?: \d{4} \d{4} |-\d{4}-\d{4}-)")
 _ANY = "|".join(f"(?:{_CARD if kind == 'card' else p})" for kind, p in PATTERNS.items())
-#: What every entity has: cheap to look for, and most texts have none of it.
-_SOME = rf"[@]|\d{{3}}|\d\.\d|[0-9a-f]{{32}}|AKIA|gh[pousr]_|sk-|{_TITLE} \p{{Lu}}|{_GIVEN} \p{{Lu}}|(?:token|secret|passw|key)[\"']? ?[=:]"
+# Substrings one of which every secret without a digit has or follows.
+SECRET_MARKS = ["token", "secret", "passw", "key", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
 NUMBERS = ("ipv4", "ssn", "phone", "card")
 
 
@@ -212,9 +212,18 @@ def detected(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_ANY})"), F.lit(1))
 
 
+def possible(text: Column) -> Column:
+    """Whether a text may hold an entity: cheap tests that most texts fail. Every entity has a digit, an at sign, a name or one of the marks."""
+    tests = [text.contains("@"), text.rlike(r"[0-9]"), text.rlike(rf"(?=\p{{Lu}})(?:{_TITLE}|{_GIVEN}) \p{{Lu}}"), *[text.contains(m) for m in SECRET_MARKS]]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return F.coalesce(out, F.lit(False))
+
+
 def mentions(df: DataFrame, text: str = "text") -> DataFrame:
     """Distinct (kind, norm, mention) of all texts."""
-    has = df.where(F.coalesce(F.col(text).rlike(_SOME), F.lit(False)))
+    has = df.where(possible(F.col(text)))
     rows = has.select(F.explode(detected(F.col(text))).alias("mention")).groupBy("mention").agg(F.count("*").alias("n"))
     kind = kind_of(F.col("mention"))
     return rows.select(kind.alias("kind"), "mention", "n").withColumn("norm", norm_of(F.col("kind"), F.col("mention")))
@@ -258,7 +267,7 @@ def replace(df: DataFrame, key: str, text: str = "text", broadcast_rows: int = 1
     elif n <= broadcast_rows:
         with_odd = df.select(*names).crossJoin(F.broadcast(odd.agg(entry)))  # one row
     else:
-        own = df.where(F.coalesce(F.col(text).rlike(_SOME), F.lit(False))).select(F.sha2(text, 256).alias("_text"), F.explode(F.array_distinct(detected(F.col(text)))).alias("_e")).distinct()
+        own = df.where(possible(F.col(text))).select(F.sha2(text, 256).alias("_text"), F.explode(F.array_distinct(detected(F.col(text)))).alias("_e")).distinct()
         own = own.withColumn("_k", kind_of(F.col("_e"))).withColumn("_v", norm_of(F.col("_k"), F.col("_e")))
         hits = own.join(odd, (F.col("_k") == F.col("kind")) & (F.col("_v") == F.col("norm"))).select("_text", "kind", "norm", "attempt").distinct().groupBy("_text").agg(entry)
         with_odd = df.select(*names).withColumn("_of", F.sha2(text, 256)).join(hits, F.col("_of") == F.col("_text"), "left").drop("_of", "_text")
@@ -266,6 +275,6 @@ def replace(df: DataFrame, key: str, text: str = "text", broadcast_rows: int = 1
     attempt = lambda kind, norm: F.coalesce(F.element_at(F.col("_odd"), F.concat_ws("\x1f", kind, norm)), F.lit(0))
     one = lambda e: let(kind_of(e), lambda k: let(norm_of(k, e), lambda v: F.struct(k.alias("kind"), surrogate(key, k, v, e, attempt(k, v)).alias("surrogate"))))
     none = F.array().cast("array<struct<kind:string,surrogate:string>>")
-    made = with_odd.withColumn("pii", F.when(F.coalesce(t.rlike(_SOME), F.lit(False)), F.transform(detected(t), one)).otherwise(none)).drop("_odd")
+    made = with_odd.withColumn("pii", F.when(possible(t), F.transform(detected(t), one)).otherwise(none)).drop("_odd")
     whole = F.array_join(F.zip_with(F.split(t, f"(?:{_ANY})", -1), F.concat(F.transform("pii", lambda p: p["surrogate"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return made.withColumn(text, F.when(F.size("pii") > 0, whole).otherwise(t)).select(*names, "pii")
