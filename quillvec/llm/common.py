@@ -42,6 +42,18 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever else ``df`` holds, also names that differ in case only."""
+    have = df.columns
+    return df.toDF(*[f"k_{i}" for i in range(len(have))]).select(*[F.col(f"k_{have.index(n)}").alias(n) for n in names])
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``df`` with columns k_0, k_1, ..., which nothing clashes with; the true names in order; and the new name of each."""
+    names = df.columns
+    return df.toDF(*[f"k_{i}" for i in range(len(names))]), names, {n: f"k_{i}" for i, n in reversed(list(enumerate(names)))}
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, shielded
 
 # SPDX identifiers and notices that name the licence, one line each.
 TEMPLATES = [
@@ -92,9 +92,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
     name. Else all three are null. Null and empty texts have no unit; a null path has no directory. Rows may repeat. Texts are not shuffled, units are.
     """
     keep = [c for c in files.columns if c != text] if keep is None else keep
-    p, t = F.col(path), F.col(text)
+    files, _, to = shielded(files)
+    p, t = F.col(to[path]), F.col(to[text])
     named = F.coalesce(p.rlike(NAMED), F.lit(False))
-    rows = durable(files.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], p.alias("_path"), units(t, named).alias("_units")))
+    rows = durable(files.select(*[F.col(to[c]).alias(f"k_{i}") for i, c in enumerate(keep)], p.alias("_path"), units(t, named).alias("_units")))
     own = rows.where(F.size("_units") > 0).withColumn("_of", F.sha2(F.concat_ws("\n", "_units"), 256))
     sets = durable(own.groupBy("_of").agg(F.first("_units").alias("_units")))  # equal lists, whichever comes first
     scored = score(durable(sets.select(F.explode("_units").alias("unit")).distinct())).where(F.col("score") >= least)

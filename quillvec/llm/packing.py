@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import only, shielded
 
 #: A pattern: runs of equal lengths, (length, copies), and the number of sequences that are filled so.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -231,21 +232,24 @@ def pieces(df: DataFrame, path: str, limit: int = 2048, key: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array([v.as_py() for v in cols[0]], kinds[0]), *(pa.array(c, k) for c, k in zip(cols[1:], kinds[1:], strict=True))], names=[key, "piece", "start", "length", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids binary")
+    return only(df, key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids binary")
 
 
 def pack(df: DataFrame, order: list[str], limit: int = 2048, length: str = "length", **search: int) -> DataFrame:
     """``df`` with sequence_id and offset: each row's place in sequences of at most ``limit``, in as few as the search finds.
 
     ``df`` must be the same whenever it is read (a written table). ``order`` are columns that tell rows apart; rows that are
-    equal in them may change places with each other. Lengths must be 1 to ``limit``. An empty ``df`` gives an empty result.
+    equal in them may change places with each other. Columns named like the results are replaced. Lengths must be 1 to ``limit``. An empty ``df`` gives an empty result.
 
     Rows get a rank among those of their length: numbered in hashed buckets, about as many as the root of the number of rows,
     so that a length with a third of all rows is spread; then by the counts of the buckets before. Only the histogram reaches the driver.
     """
+    df, names, to = shielded(df)
+    order, length = [to[c] for c in order], to[length]
+    back = [F.col(to[c]).alias(c) for c in names if c not in ("sequence_id", "offset")]
     counts = {int(r[0]): int(r[1]) for r in df.groupBy(length).count().collect()}  # at most ``limit`` rows
     if not counts:
-        return df.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return df.select(*back, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     table = places(complete(counts, limit, **search))
     buckets = max(1, isqrt(sum(counts.values())))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
@@ -263,4 +267,4 @@ def pack(df: DataFrame, order: list[str], limit: int = 2048, length: str = "leng
         return pd.DataFrame({"sequence_id": table["sequence"][at] + turn, "offset": table["offset"][at] + copy * table["length"][at]})
 
     placed = ranked.withColumn("_place", place(F.col(length), F.col("_number") + F.col("_before")))
-    return placed.select(*[F.col(c) for c in df.columns], "_place.sequence_id", "_place.offset")
+    return placed.select(*back, "_place.sequence_id", "_place.offset")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, shielded
 from .quality import let
 
 # Honorifics by gender.
@@ -258,8 +258,11 @@ def replace(df: DataFrame, key: str, text: str = "text", broadcast_rows: int = 1
     keyed expressions. The exceptions that the collision check found go along as one map if there are at most ``broadcast_rows`` of them, else they
     are joined to the texts that need them. ``key`` is the secret; another key gives other surrogates. Columns named pii are replaced.
     """
+    df, columns, to = shielded(df)
+    back = [F.col(to[c]).alias(c) for c in columns if c != "pii"]
+    text = to[text]
     odd = collisions(durable(mentions(df, text)), key)
-    names = [c for c in df.columns if c != "pii"]
+    names = df.columns
     n = odd.count()
     entry = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("_odd")
     if not n:
@@ -277,4 +280,4 @@ def replace(df: DataFrame, key: str, text: str = "text", broadcast_rows: int = 1
     none = F.array().cast("array<struct<kind:string,surrogate:string>>")
     made = with_odd.withColumn("pii", F.when(possible(t), F.transform(detected(t), one)).otherwise(none)).drop("_odd")
     whole = F.array_join(F.zip_with(F.split(t, f"(?:{_ANY})", -1), F.concat(F.transform("pii", lambda p: p["surrogate"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return made.withColumn(text, F.when(F.size("pii") > 0, whole).otherwise(t)).select(*names, "pii")
+    return made.withColumn(text, F.when(F.size("pii") > 0, whole).otherwise(t)).select(*back, "pii")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, only, shielded
 
 #: Levels by rule, as SQL on the counts; integers, so that any engine gives the same.
 RULES = {
@@ -141,9 +141,11 @@ def rules(df: DataFrame, labels: DataFrame, stratum: str = "lang", keep: list[st
     the base. The counted rows are written once to the shared folder; only cutoffs, a few rows a stratum, are joined to them.
     """
     keep = list(df.columns if keep is None else keep)
-    work = df.select(*dict.fromkeys([*keep, "doc_id", stratum, "text"])).drop(*[c for c in [*COUNTS, "base_failed", "kept"] if c not in ("doc_id", stratum, "text")])
-    counted = durable(counts(work).drop(*({"text"} - set(keep))))
-    marks = labels.select(F.col("doc_id").alias("_doc"), "quality")
-    small = counted.select("doc_id", stratum, "base_failed", *COUNTS)
-    cutoffs = durable(fit(small.join(marks, F.col("doc_id") == F.col("_doc")), stratum, "quality", "doc_id", **options).coalesce(1))
-    return judge(counted, cutoffs, stratum)
+    keep = [c for c in keep if c not in (*COUNTS, "base_failed", "kept")]
+    rows, _, to = shielded(df)
+    work = rows.select(*{to[c]: 0 for c in keep}, F.col(to["doc_id"]).alias("_doc_id"), F.col(to[stratum]).alias("_lang"), F.col(to["text"]).alias("_whole"))
+    counted = durable(counts(work, "_whole").drop("_whole"))
+    marks = only(labels, "doc_id", "quality").withColumnRenamed("doc_id", "_doc")
+    small = counted.select("_doc_id", "_lang", "base_failed", *COUNTS)
+    cutoffs = durable(fit(small.join(marks, F.col("_doc_id") == F.col("_doc")), "_lang", "quality", "_doc_id", **options).coalesce(1))
+    return judge(counted, cutoffs, "_lang").select(*[F.col(to[c]).alias(c) for c in keep], *COUNTS, "base_failed", "kept")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, only
 
 PREFIX = r"^[ \t]{0,3}(?:>[ \t]?)+"
 #: A line that only announces a quotation; it goes with the quotation below it.
@@ -69,7 +69,7 @@ def thread(df: DataFrame, rounds: int = 40) -> DataFrame:
     Rows of one (conv_id, turn) count as one message: the one with the least text. Null texts are empty, rows without conv_id or turn go.
     """
     messages = durable(
-        df.where("conv_id is not null and turn is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"))
+        only(df, "conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"))
         .agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "role")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
     )
     has_quote = F.col("text").rlike(r"(?m)" + PREFIX)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import components, durable, prepared
+from .common import components, durable, only, prepared, shielded
 
 BITS = 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width; short ones are padded with zero bits
@@ -93,7 +93,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             prints = np.array([fingerprint(x, words) for x in bpe.texts_of(b.column(text))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(prints, pa.int64())], names=[key, "fingerprint"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint long")
+    return only(df, key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint long")
 
 
 def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +274,8 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     similarity of at least ``similarity`` with the staying row's, over sets of ``verify``-word shingles; texts that only their fingerprints join stay.
     Texts without a word are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are one, whichever stays.
     """
-    names = df.columns
+    df, names, to = shielded(df)
+    key, text = to[key], to[text]
     rows = prepared(df, key, text)
     at = F.struct("_doc", "_turn")
     keyed = rows.select(at.alias("_key"), F.col(text).alias("_text"))
@@ -309,4 +310,4 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
             yield b.select(["_d", "_t"]).filter(pa.array(near, pa.bool_()))
 
     gone = durable(pairs.mapInArrow(compared, "_d long, _t int"))
-    return rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")), "left_anti").select(*names)
+    return rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")), "left_anti").select(*[F.col(to[c]).alias(c) for c in names])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import durable, prepared
+from .common import durable, prepared, shielded
 
 GRAM = 32
 QUARTERS = 4
@@ -398,9 +398,12 @@ def dedup(df: DataFrame, size: int = 100, key: str = "doc_id", text: str = "text
     as UTF-8, as they came in.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    rows = prepared(df, key, text)
+    kinds = [df.schema[c].dataType.simpleString() for c in keep]
+    df, _, to = shielded(df)
+    rows = prepared(df, to[key], to[text])
+    key, text = to[key], to[text]
     found = repeats(rows, size, key, text, block)
-    full = rows.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], "_doc", "_turn", F.col(text).alias("text"))
+    full = rows.select(*[F.col(to[c]).alias(f"k_{i}") for i, c in enumerate(keep)], "_doc", "_turn", F.col(text).alias("text"))
     both = full.join(found, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")), "left").select(*[f"k_{i}" for i in range(len(keep))], "text", "spans")
 
     def cut(batches):
@@ -416,6 +419,6 @@ def dedup(df: DataFrame, size: int = 100, key: str = "doc_id", text: str = "text
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(b.column(f"k_{i}") for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(rests, pa.binary())], names=[*(f"k_{i}" for i in range(len(keep))), "n_bytes", "spans", "rest"])
 
-    schema = ", ".join([*(f"k_{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "n_bytes long, spans array<struct<start:long,end:long>>, rest binary"])
+    schema = ", ".join([*(f"k_{i} {kind}" for i, kind in enumerate(kinds)), "n_bytes long, spans array<struct<start:long,end:long>>, rest binary"])
     made = both.mapInArrow(cut, schema)
     return made.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "rest")
