@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _col(c: Column | str) -> Column:
@@ -39,7 +40,7 @@ def block_mean(v: Column | str, width: int = 4) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), mean)).when(v.isNotNull(), F.array().cast("array<double>"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _spelled(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else "[" + ", ".join(f"{float(x):.6g}" for x in v) + "]")
 
@@ -49,7 +50,7 @@ def vector_to_string(v: Column | str) -> Column:
     return _spelled(_col(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _spelled_rows(matrices: pd.Series) -> pd.Series:
     one = lambda v: "[" + ", ".join(f"{float(x):.6g}" for x in v) + "]"
     return matrices.map(lambda m: None if m is None else "[" + ", ".join(one(v) for v in m) + "]")
