@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-#: Distinct words whose encoding a worker keeps; the store is emptied when it is full.
+from .common import only
+
+#: Distinct words whose encoding a worker keeps, in two generations: when the young one is full it becomes the old one.
 WORDS_KEPT = 1_000_000
 # The pre-splitting pattern of such files, for texts of Latin-1 characters in lower case, where it can be said without Unicode classes.
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -65,23 +67,26 @@ class MergeAutomaton:
         for s in self.ids:
             if len(s) > max(_HEAD, self.far.get(s[:_HEAD], 0)):
                 self.far[s[:_HEAD]] = len(s)
-        self.tails: dict[tuple[int, str], tuple | None] = {}  # ends of paths, as they are met
         self.heads: dict[str, tuple] = {}  # tokens that start some symbols, longest first, as they are met
         self.labels: list[str | None] = [None] * size
         for s, i in vocab.items():
             self.labels[i] = s
         self.born = array("i", [-1]) * size  # time at which a state and the arcs of its label came
         self.copied_state, self.copied_label = array("i", [-1]) * size, array("i", [-1]) * size
+        self.alive = bytearray([1]) * size
         self.closed: dict[int, int] = {}  # state << 32 | label: time at which a merge closed this arc
         self.table: dict[int, bool] = {}  # transitions that were asked for
         for time, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(time, self.ids[inner(a)], self.ids[inner(b)], self.ids[inner(a + b)])
+        self.ids = {s: i for s, i in self.ids.items() if self.alive[i]}
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if self.born[w] >= 0:
             raise ValueError(f"two merges make token {w}")
         self.born[w], self.copied_label[w], self.copied_state[w] = time, u, v
+        # Without the two arcs in a row there is nothing to merge, and the token never occurs.
+        self.alive[w] = self.alive[u] and self.alive[v] and self._open(u, v, time)
         self.closed[u << 32 | v] = time
 
     def arc(self, state: int, label: int) -> bool:
@@ -89,53 +94,23 @@ class MergeAutomaton:
         key = state << 32 | label
         if (known := self.table.get(key)) is not None:
             return known
-        born, until, s, x, open_ = self.born, 1 << 62, state, label, True
-        while True:
-            if self.closed.get(s << 32 | x, until) < until:
-                open_ = False
-                break
-            bs, bx = born[s], born[x]
-            if bs < 0 and bx < 0:
-                break
-            if s == x:  # both came with one gadget
-                until, s, x = bs, self.copied_state[s], self.copied_label[x]
-            elif bs > bx:
-                until, s = bs, self.copied_state[s]
-            elif self.copied_label[x] == self.copied_state[x] == s:
-                open_ = False
-                break
-            else:
-                until, x = bx, self.copied_label[x]
+        open_ = self._open(state, label, 1 << 62)
         self.table[key] = open_
-        if len(self.table) > 4_000_000:
+        if len(self.table) > 400_000:
             self.table.clear()
         return open_
 
     def encode(self, word: str) -> list[int]:
         """Ids of one pre-split word of byte symbols: the path of the automaton that spells it."""
         text = word + self.end
-        if (whole := self.ids.get(text)) is not None and self.reached(whole):
+        if (whole := self.ids.get(text)) is not None:
             return [whole]
         n, ids, heads, far, table = len(text), self.ids, self.heads, self.far, self.table
         path: list[int] = []
         starts: list[int] = []
         dead: set[tuple[int, int]] = set()  # places and tokens from which no path leads on
         i, last, below = 0, -1, n + 1  # next place, state, and the length that the next token must be under
-        tails = self.tails
         while i < n:
-            if n - i <= _HEAD and last >= 0 and below > n:
-                rest = text[i:]
-                ending = tails.get((last, rest), 0)
-                if ending == 0:
-                    ending = self._ending(last, rest)
-                if ending is not None:
-                    path += ending
-                    return path
-                dead.add((i, path.pop()))
-                below = i - starts[-1]
-                i = starts.pop()
-                last = path[-1] if path else -1
-                continue
             head = text[i : i + _HEAD]
             options = heads.get(head)
             if options is None:
@@ -164,44 +139,14 @@ class MergeAutomaton:
             i, last, below = i + m, t, n + 1
         return path
 
-    def _ending(self, last: int, rest: str) -> tuple | None:
-        """The path from state ``last`` that spells ``rest``, of up to _HEAD symbols; None if there is none."""
-        if len(self.tails) > 500_000:
-            self.tails.clear()
-        found = None
-        for m, t in self.heads.get(rest) or self._options(rest):
-            if self.arc(last, t):
-                if m == len(rest):
-                    found = (t,)
-                    break
-                key = (t, rest[m:])
-                more = self.tails[key] if key in self.tails else self._ending(*key)
-                if more is not None:
-                    found = (t, *more)
-                    break
-        self.tails[last, rest] = found
-        return found
-
     def _options(self, head: str) -> tuple:
-        if len(self.heads) > 300_000:
+        if len(self.heads) > 200_000:
             self.heads.clear()
         found = self.heads[head] = tuple((m, t) for m in range(len(head), 0, -1) if (t := self.ids.get(head[:m])) is not None)
         return found
 
-    def reached(self, token: int) -> bool:
-        """Whether merges build this token from its own symbols."""
-        return self.born[token] < 0 or self.arc_at(token)
-
-    def arc_at(self, token: int) -> bool:
-        """The token's two parts were open to each other when its merge came, and so on inside them."""
-        key = -1 - token
-        if (known := self.table.get(key)) is None:
-            u, v, until = self.copied_label[token], self.copied_state[token], self.born[token]
-            known = self.reached(u) and self.reached(v) and self._open(u, v, until)
-            self.table[key] = known
-        return known
-
     def _open(self, s: int, x: int, until: int) -> bool:
+        """Whether the arc ``x`` of state ``s`` is there at a time, both having come before."""
         born = self.born
         while True:
             if self.closed.get(s << 32 | x, until) < until:
@@ -209,7 +154,7 @@ class MergeAutomaton:
             bs, bx = born[s], born[x]
             if bs < 0 and bx < 0:
                 return True
-            if s == x:
+            if s == x:  # both came with one gadget
                 until, s, x = bs, self.copied_state[s], self.copied_label[x]
             elif bs > bx:
                 until, s = bs, self.copied_state[s]
@@ -223,12 +168,16 @@ class _Words(dict):
     """Encoded words; a missing one is made by ``make``."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT:
+        if len(self) >= WORDS_KEPT // 2:
+            self.old = self.copy()
             self.clear()
-        ids = self[word] = self.make(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
         return ids
 
 
@@ -337,23 +286,25 @@ def ids_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), at, [None, pa.py_buffer(b"".join(parts))]))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all, unless given) of ``df`` and ``to``: the ids of each whole text.
+def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """Columns ``keep`` (all, unless given) of ``df`` and ``to``: the ids of each whole text; with ``decoded``, also the text that they decode to.
 
     Null and empty texts give an empty list. One narrow pass over the rows, no shuffle. ``path`` must be
-    readable on every worker. A column named ``to`` is replaced.
+    readable on every worker. Columns named like the results are replaced.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c != to]
-    source = df.select(*[df[c] for c in dict.fromkeys([*keep, text])])
+    made = [to] if decoded is None else [to, decoded]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in made]
+    source = only(df, *dict.fromkeys([*keep, text]))
 
     def run(batches):
         its = codec(path)
-        for b in small(batches):
+        for b in small(batches, 128):
             ids = ids_array([its.encode(x) for x in texts_of(b.column(text))])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, to])
+            out = [ids] if decoded is None else [ids, its.decode(ids)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], names=[*keep, *made])
 
     schema = source.select(*keep).schema.add(to, T.ArrayType(T.IntegerType()))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema if decoded is None else schema.add(decoded, T.StringType()))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -368,7 +319,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
     return df.select(*keep).mapInArrow(run, df.select(*keep).schema.add(to, "string"))
 
 
-def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list[Column]:
+def digests(ids: str = "ids", decoded: str = "decoded") -> list[Column]:
     return [
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256).alias("ids_sha256"),
