@@ -33,7 +33,7 @@ def test_save_and_load(spark, tmp_path):
     key = lambda s: sorted((r.id, tuple(r.vector)) for r in s.entries().collect())
     assert key(other) == key(store) and other.current_id() == 3
     wrong = VectorStore(spark, f"{tmp_path}/c", 3)
-    wrong.add(spark.createDataFrame([([1.0, 0, 0],)], "vector array<double>"))
+    wrong.add(spark.createDataFrame([([1.0, 0.0, 0.0],)], "vector array<double>"))
     with pytest.raises(ValueError):
         wrong.load(f"{tmp_path}/saved")
     assert wrong.count() == 1

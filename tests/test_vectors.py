@@ -10,7 +10,7 @@ from quillvec.operators import cluster, embed, search
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(list(enumerate(rows)), "id int, vector array<double>")
+    return spark.createDataFrame([(i, None if r is None else [float(x) for x in r]) for i, r in enumerate(rows)], "id int, vector array<double>")
 
 
 def test_normalize(spark):
@@ -60,7 +60,7 @@ def test_text_functions(spark):
     assert "\n" not in r[2] and not r[3].endswith("\r") and r[4] == "61C2A0" and r[5] == "db/7.txt"
 
 
-ACCURACY = [(0, [1.0, 1, 1]), (1, [1.0, 1, -1]), (2, [1.0, -1, 1]), (3, [1.0, -1, -1]), (4, [1.0, -1, 0]), (5, [1.0, 1, 0])]
+ACCURACY = [(0, [1.0, 1.0, 1.0]), (1, [1.0, 1.0, -1.0]), (2, [1.0, -1.0, 1.0]), (3, [1.0, -1.0, -1.0]), (4, [1.0, -1.0, 0.0]), (5, [1.0, 1.0, 0.0])]
 
 
 def test_exact_search(spark):
@@ -83,7 +83,7 @@ def test_search_is_a_bounded_sort(spark):
 
 
 def test_ties_and_nan(spark):
-    df = spark.createDataFrame([(2, [1.0, 0]), (1, [1.0, 0]), (0, [float("nan"), 1.0])], "id int, vector array<double>")
+    df = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 0.0]), (0, [float("nan"), 1.0])], "id int, vector array<double>")
     assert [r.id for r in search.knn_exact(df, [1, 0], 3).collect()] == [1, 2, 0]
 
 
