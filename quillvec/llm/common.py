@@ -13,6 +13,8 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 _fallback: list[str] = []
+#: Paths of tables that :func:`durable` wrote and :func:`forget` has not deleted.
+written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +32,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
@@ -37,9 +40,15 @@ def durable(df: DataFrame) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Deletes a table made by :func:`durable`; nothing may read it afterwards."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._durable_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    forget_paths(df.sparkSession, [df._durable_path])
+
+
+def forget_paths(spark: SparkSession, paths: list[str]) -> None:
+    for p in list(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if p in written:
+            written.remove(p)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
