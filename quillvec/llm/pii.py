@@ -42,8 +42,9 @@ _GIVEN = "(?:" + "|".join(FEMALE_NAMES + MALE_NAMES) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in order of precedence, with what matches them; the order of the alternatives decides where several match at one place.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?<=(?:token|secret|passwd|password|api_key|apikey|access_key|private_key)[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_/+.=-]{12,}|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}])",
+    "email": r"(?<![\w.%+\-\p{L}\p{N}])[\w.%+\-\p{L}\p{N}]++@[\w\-\p{L}\p{N}]+(?:\.[\w\-\p{L}\p{N}]+)*\.\p{L}{2,}",
+    # What may stand before the value, and its length, are looked at before the word that announces it.
+    "secret": r"(?<=[\"'=: ])(?=[A-Za-z0-9_/+.=-]{12})(?<=(?:token|secret|passwd|password|api_key|apikey|access_key|private_key)[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_/+.=-]++|(?<![\p{L}\p{N}])(?=[0-9a-fAgs])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -212,6 +213,14 @@ def detected(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_ANY})"), F.lit(1))
 
 
+def parted(text: Column) -> Column:
+    """A text cut at its entities: they stand at the odd places. One pass: entities are marked, then the marks are split at."""
+    marked = F.split(F.regexp_replace(text, f"({_ANY})", "\x01$1\x01"), "\x01", -1)
+    pairs = lambda es: F.zip_with(F.split(text, f"(?:{_ANY})", -1), es, lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b)))
+    slow = let(detected(text), lambda es: F.flatten(pairs(es)))
+    return F.when(text.contains("\x01"), slow).otherwise(marked)
+
+
 def possible(text: Column) -> Column:
     """Whether a text may hold an entity: cheap tests that most texts fail. Every entity has a digit, an at sign, a name or one of the marks."""
     tests = [text.contains("@"), text.rlike(r"[0-9]"), text.rlike(rf"(?=\p{{Lu}})(?:{_TITLE}|{_GIVEN}) \p{{Lu}}"), *[text.contains(m) for m in SECRET_MARKS]]
@@ -277,7 +286,9 @@ def replace(df: DataFrame, key: str, text: str = "text", broadcast_rows: int = 1
     t = F.col(text)
     attempt = lambda kind, norm: F.coalesce(F.element_at(F.col("_odd"), F.concat_ws("\x1f", kind, norm)), F.lit(0))
     one = lambda e: let(kind_of(e), lambda k: let(norm_of(k, e), lambda v: F.struct(k.alias("kind"), surrogate(key, k, v, e, attempt(k, v)).alias("surrogate"))))
+    part = lambda e, i: F.when(i % 2 == 1, one(e)).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), e.alias("surrogate")))
     none = F.array().cast("array<struct<kind:string,surrogate:string>>")
-    made = with_odd.withColumn("pii", F.when(possible(t), F.transform(detected(t), one)).otherwise(none)).drop("_odd")
-    whole = F.array_join(F.zip_with(F.split(t, f"(?:{_ANY})", -1), F.concat(F.transform("pii", lambda p: p["surrogate"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    made = with_odd.withColumn("_parts", F.when(possible(t), F.transform(parted(t), part)).otherwise(none)).drop("_odd")
+    made = made.withColumn("pii", F.filter("_parts", lambda p: p["kind"].isNotNull()))
+    whole = F.array_join(F.transform("_parts", lambda p: p["surrogate"]), "")
     return made.withColumn(text, F.when(F.size("pii") > 0, whole).otherwise(t)).select(*back, "pii")

@@ -15,6 +15,7 @@ TEXTS = [
     (6, "Nothing here: version 3, 12 apples, 1.2.3 and a_b."),
     (7, None),
     (8, ""),
+    (10, "marks \x01 in 97.51.17.173 \x01 ann.lee@mail.example.com"),
     (9, "card 4532 0151 1283 0366 and 4532015112830366, wrong 4532015112830367"),
 ]
 
@@ -37,6 +38,7 @@ def test_kinds(made):
     assert kinds[1] == ["email", "phone", "card"] and kinds[2] == ["ipv4", "ipv4", "email"]
     assert kinds[3] == ["secret", "secret"] and kinds[4] == ["name"] * 5
     assert kinds[5] == ["ssn", "iban", "iban"] and kinds[9] == ["card"] * 3
+    assert kinds[10] == ["ipv4", "email"] and made[10].text == f"marks \x01 in {made[2].pii[0].surrogate} \x01 {made[1].pii[0].surrogate}"
     assert kinds[6] == kinds[7] == kinds[8] == []
 
 
