@@ -84,13 +84,13 @@ def log_factorial(n):
 
 
 def tail(k, n, rate: float):
-    """P(Bin(n, rate) <= k), or 1 where k is at or above its mean: terms from k down, the rest bounded from above by a geometric row."""
+    """P(Bin(n, rate) <= k), or 1 where k is at or above its mean: terms from k down, those left out bounded from above by a geometric row."""
     odds = (1 - rate) / rate
     x, at = k.cast("double"), n.cast("double")
     top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + x * F.ln(F.lit(rate)) + (at - x) * F.ln(F.lit(1 - rate)))
     steps = F.sequence(F.lit(1), F.least(k, F.ceil(20 * F.sqrt(at * rate)) + 60).cast("int"))
     ratio = lambda i: (x - i + 1) / (at - x + i) * odds
-    add = lambda s, i: F.struct((s["p"] * ratio(i)).alias("p"), (s["sum"] + s["p"] * ratio(i)).alias("sum"), ratio(i).alias("r"))
+    add = lambda s, i: F.struct((s["p"] * ratio(i)).alias("p"), (s["sum"] + s["p"] * ratio(i)).alias("sum"), ratio(i + 1).alias("r"))
     start = F.struct(F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"), F.lit(0.0).alias("r"))
     total = F.aggregate(steps, start, add, lambda s: s["sum"] + s["p"] * s["r"] / F.greatest(1 - s["r"], F.lit(1e-9)))
     return F.when(x >= at * rate, F.lit(1.0)).when(k == 0, F.exp(at * F.ln(F.lit(1 - rate)))).otherwise(F.least(F.lit(1.0), top * total))

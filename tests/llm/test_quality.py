@@ -44,7 +44,7 @@ def test_binomial_tail_is_exact(spark):
             assert r.t == pytest.approx(want, rel=1e-7, abs=1e-300)
 
 
-def corpus(n=4000):
+def corpus(n=8000):
     """Good documents, and bad ones that are full of symbols; every fourth has no label."""
     random.seed(2)
     rows, labels = [], []
