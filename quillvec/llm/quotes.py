@@ -108,10 +108,9 @@ def thread(df: DataFrame, rounds: int = 40) -> DataFrame:
         if not at.where("pt is not null").limit(1).count():
             break
         up = at.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("pc").alias("_pc"), F.col("pt").alias("_pt"), F.col("depth").alias("_d"), F.col("rc").alias("_rc"), F.col("rt").alias("_rt"))
-        step = at.join(up, (F.col("pc") == F.col("_c")) & (F.col("pt") == F.col("_t")), "left")
-        at = durable(step.select(
-            "conv_id", "turn", F.col("_pc").alias("pc"), F.col("_pt").alias("pt"),
-            (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_rc", "rc").alias("rc"), F.coalesce("_rt", "rt").alias("rt"),
-        ))
+        # Messages that have found their root take no further part; each answered message is there once.
+        step = at.where("pt is not null").join(up, (F.col("pc") == F.col("_c")) & (F.col("pt") == F.col("_t")))
+        moved = step.select("conv_id", "turn", F.col("_pc").alias("pc"), F.col("_pt").alias("pt"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_rc").alias("rc"), F.col("_rt").alias("rt"))
+        at = durable(at.where("pt is null").unionByName(moved))
     made = replies.join(at.select("conv_id", "turn", "depth", F.col("rc").alias("root_conv"), F.col("rt").alias("root_turn")), ["conv_id", "turn"])
     return made.select("conv_id", "turn", "role", "text", "reply_conv", "reply_turn", "root_conv", "root_turn", "depth", "n_quoted", "n_linked").orderBy("conv_id", "depth", "turn")
