@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.functions.vectors import dot, l2_normalize
+from quillvec.functions.vectors import dot, l2_normalize, l2_normalize_batches, units
 from quillvec.operators.embed import mean_vector
 
 CLUSTERS = 6
@@ -34,6 +36,30 @@ def update(df: DataFrame, centroids: list[list[float]], vector: str = "vector",
     return [new.get(i, c) for i, c in enumerate(centroids)]
 
 
+def step(df: DataFrame, centroids: list[list[float]], vector: str = "vector") -> list[list[float]]:
+    """One assignment and update of normalised vectors, as :func:`assign` and :func:`update` do, in matrix products on Arrow batches: each task sends
+    one sum for each cluster."""
+    held = np.array(centroids, float)
+
+    def sums(batches):
+        total, n = np.zeros_like(held), np.zeros(len(held), np.int64)
+        for b in batches:
+            m = np.array(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
+            home = np.nan_to_num(m @ held.T, nan=-np.inf).argmax(axis=1)
+            for c in np.unique(home):
+                total[c] += m[home == c].sum(axis=0)
+                n[c] += int((home == c).sum())
+        use = np.flatnonzero(n)
+        vectors = pa.array(total[use].tolist(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), vectors, pa.array(n[use])], names=["c", "total", "n"])
+
+    parts = df.select(vector).mapInArrow(sums, "c int, total array<double>, n long")
+    flat = parts.select("c", "n", F.posexplode("total").alias("dim", "x")).groupBy("c", "dim").agg((F.sum("x") / F.sum("n")).alias("m"))
+    means = flat.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("m")).collect()
+    new = {r["c"]: units(np.array([r["m"]]))[0].tolist() for r in means}
+    return [new.get(i, c) for i, c in enumerate(centroids)]
+
+
 def seeds(df: DataFrame, k: int = CLUSTERS, key: str = "id", vector: str = "vector", seed: int | None = None) -> list[list[float]]:
     """The first ``k`` different non-zero vectors by id, or by a hash of the id with ``seed``; normalised."""
     order = F.col(key) if seed is None else F.xxhash64(key, F.lit(seed))
@@ -49,7 +75,7 @@ def fit(df: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, key: str
     centroids = seeds(df, k, key, vector, seed)
     if compat == "legacy":
         return [[0.0] * len(c) for c in centroids]
-    rows = df.select(l2_normalize(vector).alias("_v"))
+    rows = df.where(F.size(vector) == len(centroids[0])).select(l2_normalize_batches(vector).alias("_v")) if centroids else df
     for _ in range(iterations if centroids else 0):
-        centroids = update(assign(rows, centroids, "_v", "_c"), centroids, "_v", "_c")
+        centroids = step(rows, centroids, "_v")
     return centroids

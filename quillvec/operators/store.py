@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillvec.functions.text import entry_path
-from quillvec.functions.vectors import l2_normalize
+from quillvec.functions.vectors import l2_normalize_batches
 from quillvec.operators import cluster, search
 
 SCHEMA = "id int, vector array<float>, file_path string, text string"
@@ -54,17 +54,16 @@ class VectorStore:
         Ids go by ``order`` (a column; else the order of the frame's own ids is not defined). They are given by counts over ranges of the order, not in one task.
         """
         good = df.where(F.size(vector) == self.dim)
-        refused = df.count() - good.count()
+        total, added = df.agg(F.count("*"), F.count_if(F.size(vector) == self.dim)).first()
         key = F.col(order) if order else F.monotonically_increasing_id()
-        rows = good.select(key.alias("_o"), l2_normalize(vector).cast("array<float>").alias("vector"), (F.col(text) if text else F.lit(None).cast("string")).alias("text"))
+        rows = good.select(key.alias("_o"), l2_normalize_batches(vector).cast("array<float>").alias("vector"), (F.col(text) if text else F.lit(None).cast("string")).alias("text"))
         staging = f"{self.path}/staging-{uuid.uuid4().hex}"
         numbered = number(rows, "_o", staging).withColumn("id", (F.col("_n") + self.next_id).cast("int"))
         made = numbered.select("id", "vector", entry_path(self.directory, "id").alias("file_path"), "text")
         both = self.entries().drop("cluster_id").unionByName(made)
-        added = good.count()
         self._commit(both, self.next_id + added, self.centroids, self.stale or added > 0)
         self._fs().delete(self._hadoop(staging), True)
-        return refused
+        return total - added
 
     def delete(self, id_: int) -> bool:
         """Whether the id was there. Only the entry's cluster is read to find it; the version is rewritten without it."""

@@ -119,6 +119,20 @@ def test_clusters(spark):
     assert {r.cluster_id for r in search.with_cluster(df, legacy).collect()} == {0}
 
 
+def test_both_engines_agree(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=7).tolist()) for i in range(200)] + [(200, [0.0] * 7), (201, None), (202, [])]
+    df = spark.createDataFrame(rows, "id int, vector array<double>").repartition(3)
+    for r in df.select(vectors.l2_normalize("vector").alias("a"), vectors.l2_normalize_batches("vector").alias("b")).collect():
+        assert r.a is None and r.b is None or np.allclose(r.a, r.b, atol=1e-12)
+    unit = df.where("id < 200").select("id", vectors.l2_normalize("vector").alias("vector"))
+    centroids = cluster.seeds(unit, 4)
+    a = cluster.update(cluster.assign(unit, centroids), centroids)
+    b = cluster.step(unit.select("vector"), centroids)
+    assert np.allclose(a, b, atol=1e-9)
+    assert np.allclose(cluster.fit(df, 4, 1), a, atol=1e-9)
+
+
 def test_empty_clusters_keep_their_centroid(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1])], "id int, vector array<double>")
     centroids = [[1.0, 0.0], [-1.0, 0.0]]
