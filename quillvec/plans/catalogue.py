@@ -16,7 +16,7 @@ from quillvec.functions import text as texts
 from quillvec.functions import vectors
 from quillvec.operators import cluster, embed, search
 from quillvec.operators.tokenizer import TokenizerModel
-from quillvec.sources import binary, files
+from quillvec.sources import binary, files, synthetic
 
 # Pieces of a small vocabulary in the order of their ids.
 PIECES = (
@@ -432,6 +432,13 @@ def file_readers(spark, sf_dir):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+@query()
+def synthetic_vectors(spark, sf_dir):
+    """As many random vectors as there are entries, and their extremes."""
+    rows = synthetic.random_vectors(spark, entries(spark, sf_dir).count(), 64, seed=1)
+    return rows.agg(F.count("*").alias("n"), F.min(F.array_min("vector")).alias("low"), F.max(F.array_max("vector")).alias("high"))
+
+
 # ---- changes
 
 
