@@ -267,35 +267,70 @@ def shingles(text: str, words: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in joined]), np.dtype(">u8")).astype(np.uint64))
 
 
+def heads(classes: DataFrame, most: int = 3) -> DataFrame:
+    """(fingerprint, head) for ``classes`` (fingerprint, _doc, _turn): rows that may stay in its place, each a struct of _doc and _turn.
+
+    Each fingerprint looks up, at all of its fuzzy keys, the smallest row whose decoded pair of indices that key is. It is a head if it is smaller and within
+    ``most`` bits. A key has one head, so there are at most as many candidates as keys, however crowded a bucket is.
+    """
+
+    def emit(decoded):
+        def run(batches):
+            for b in batches:
+                p, doc, turn = (np.array(b.column(c).to_numpy(zero_copy_only=False)) for c in range(3))
+                for at in range(0, len(p), 4096):
+                    part = slice(at, at + 4096)
+                    k, i, near = keys(np.ascontiguousarray(p[part]))
+                    if decoded:
+                        k, i = k[near], i[near]
+                    cols = (k, p[part][i], doc[part][i], turn[part][i])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fingerprint", "_doc", "_turn"])
+
+        return classes.select("fingerprint", "_doc", "_turn").mapInArrow(run, "key long, fingerprint long, _doc long, _turn int")
+
+    near = emit(True).groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("_doc", "_turn", "fingerprint")).alias("_h"))
+    within_ = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("_h.fingerprint"))) <= most
+    smaller = F.struct("_h._doc", "_h._turn") < F.struct("_doc", "_turn")
+    found = emit(False).join(near, (F.col("key") == F.col("_key")) & within_ & smaller)
+    return found.select("fingerprint", F.struct(F.col("_h._doc").alias("_doc"), F.col("_h._turn").alias("_turn")).alias("head")).distinct()
+
+
 def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, most: int = 3, verify: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``df`` without near duplicates: of each group, the row with the smallest ``key`` stays.
+    """``df`` without near duplicates: a row goes if a row with a smaller ``key`` that it is compared with is alike, so the smallest of a group stays.
 
-    Groups are the components of fingerprints over ``words``-word shingles that differ in at most ``most`` bits. A member goes if its text has a Jaccard
-    similarity of at least ``similarity`` with the staying row's, over sets of ``verify``-word shingles; texts that only their fingerprints join stay.
-    Texts without a word are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are one, whichever stays.
+    Rows of one text are compared with the smallest of them. That one is compared with the smallest of its fingerprint, over ``words``-word shingles, and with
+    the heads that its fuzzy keys find, see :func:`heads`. Alike are texts whose sets of ``verify``-word shingles have a Jaccard similarity of at least ``similarity``; texts that only
+    their fingerprints join stay. Texts without a word are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are
+    one, whichever stays.
     """
     df, names, to = shielded(df)
     key, text = to[key], to[text]
     rows = prepared(df, key, text)
-    at = F.struct("_doc", "_turn")
-    keyed = rows.select(at.alias("_key"), F.col(text).alias("_text"))
-    found = near_duplicates(keyed, "_key", "_text", words, most)
-    found = durable(found.select(F.col("_key._doc").alias("_d"), F.col("_key._turn").alias("_t"), "fingerprint", F.col("component_id").alias("_head")))
-    lone = F.struct(F.col("_d").alias("_doc"), F.col("_t").alias("_turn")) == F.col("_head")
-    members = found.where(~lone)
-    heads = members.select(F.col("_head._doc").alias("_d"), F.col("_head._turn").alias("_t")).distinct().withColumn("_head", F.lit(None).cast(found.schema["_head"].dataType))
-    involved = members.select("_d", "_t", "_head").unionByName(heads)
+    keyed = rows.select(F.struct("_doc", "_turn", F.xxhash64(F.coalesce(text, F.lit(""))).alias("_same")).alias("_key"), F.col(text).alias("_text"))
+    made = durable(fingerprints(keyed, "_key", "_text", words).select("_key._doc", "_key._turn", "_key._same", "fingerprint"))
+    me = F.struct("_doc", "_turn")
+    firsts = durable(made.groupBy("fingerprint", "_same").agg(F.min(me).alias("_first")))  # of each text
+    equal = firsts.select(F.col("fingerprint").alias("_f"), F.col("_same").alias("_s"), "_first")
+    copies = made.join(equal, (F.col("fingerprint") == F.col("_f")) & (F.col("_same") == F.col("_s"))).where(me != F.col("_first"))
+    texts_ = firsts.select("fingerprint", "_first._doc", "_first._turn")
+    least = durable(texts_.groupBy("fingerprint").agg(F.min(me).alias("_first")))
+    candidates = heads(least.select("fingerprint", "_first._doc", "_first._turn"), most)
+    candidates = candidates.unionByName(least.select("fingerprint", F.col("_first").alias("head"))).withColumnRenamed("fingerprint", "_f")
+    others = texts_.join(candidates, F.col("fingerprint") == F.col("_f")).where(me != F.col("head"))
+    pairs = copies.select("_doc", "_turn", F.col("_first").alias("head")).unionByName(others.select("_doc", "_turn", "head"))
+    pairs = durable(pairs.select(F.col("_doc").alias("_d"), F.col("_turn").alias("_t"), F.col("head._doc").alias("_hd"), F.col("head._turn").alias("_ht")))
+    involved = pairs.select("_d", "_t").union(pairs.select("_hd", "_ht")).distinct()
     texts = rows.select("_doc", "_turn", F.col(text).alias("_text")).join(involved, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")))
 
     def hashed(batches):
         for b in bpe.small(batches):
             sets = [shingles(x, verify).tobytes() for x in bpe.texts_of(b.column("_text"))]
-            yield pa.RecordBatch.from_arrays([b.column("_d"), b.column("_t"), b.column("_head"), pa.array(sets, pa.binary())], names=["_d", "_t", "_head", "_set"])
+            yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_turn"), pa.array(sets, pa.binary())], names=["_sd", "_st", "_set"])
 
-    kinds = found.schema["_head"].dataType.simpleString()
-    sets = durable(texts.select("_d", "_t", "_head", "_text").mapInArrow(hashed, f"_d long, _t int, _head {kinds}, _set binary"))
-    of = sets.where("_head is null").select(F.struct(F.col("_d").alias("_doc"), F.col("_t").alias("_turn")).alias("_of"), F.col("_set").alias("_other"))
-    pairs = sets.where("_head is not null").join(of, F.col("_head") == F.col("_of")).select("_d", "_t", "_set", "_other")
+    sets = durable(texts.select("_doc", "_turn", "_text").mapInArrow(hashed, "_sd long, _st int, _set binary"))
+    mine = pairs.join(sets, (F.col("_d") == F.col("_sd")) & (F.col("_t") == F.col("_st"))).select("_d", "_t", "_hd", "_ht", "_set")
+    other = sets.select(F.col("_sd").alias("_od"), F.col("_st").alias("_ot"), F.col("_set").alias("_other"))
+    both = mine.join(other, (F.col("_hd") == F.col("_od")) & (F.col("_ht") == F.col("_ot"))).select("_d", "_t", "_set", "_other")
 
     def compared(batches):
         for b in bpe.small(batches):
@@ -305,9 +340,9 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
                     near.append(True)
                     continue
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                near.append(both >= similarity * (len(u) + len(v) - both))
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                near.append(common >= similarity * (len(u) + len(v) - common))
             yield b.select(["_d", "_t"]).filter(pa.array(near, pa.bool_()))
 
-    gone = durable(pairs.mapInArrow(compared, "_d long, _t int"))
+    gone = durable(both.mapInArrow(compared, "_d long, _t int").distinct())
     return rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")), "left_anti").select(*[F.col(to[c]).alias(c) for c in names])
