@@ -150,3 +150,29 @@ def test_distinct_keeps_one_of_each_confirmed_group(spark):
     assert got.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, rows[1][1]), (8, rows[4][1]), (9, rows[5][1]), (None, None), (12, "one")], key=str)
     assert simhash.distinct(df.limit(0)).collect() == []
+
+
+def test_heads_are_smaller_rows_within_reach(spark):
+    prints = cluster_prints()
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    classes = spark.createDataFrame([(x, i, 0) for i, x in enumerate(signed)], "fingerprint long, _doc long, _turn int")
+    got = simhash.heads(classes).collect()
+    at = {x: i for i, x in enumerate(signed)}
+    assert got and all(r.head._doc < at[r.fingerprint] and (prints[r.head._doc] ^ prints[at[r.fingerprint]]).bit_count() <= 3 for r in got)
+    # Of fingerprints with one partner, all find it: nobody stands before it under its key.
+    lone = [(i, [j for j in range(len(prints)) if j != i and (prints[i] ^ prints[j]).bit_count() <= 3]) for i in range(len(prints))]
+    for i, partners in lone:
+        if len(partners) == 1 and partners[0] < i and len(lone[partners[0]][1]) == 1:
+            assert any(r.fingerprint == signed[i] and r.head._doc == partners[0] for r in got)
+
+
+def test_exact_copies_go_whatever_else_they_resemble(spark):
+    """Texts of the same words in other orders share a fingerprint of single words; each order's copies go, the orders stay."""
+    random.seed(9)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(12):
+        random.shuffle(base)
+        rows += [(3 * i + j, " ".join(base)) for j in range(3)]
+    got = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 36, 3))
