@@ -33,6 +33,7 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     written.append(path)
+    spark._jvm.System.gc()  # Spark deletes shuffle files once the driver has forgotten their plan, which a full heap would else put off
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
