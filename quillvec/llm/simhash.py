@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import components, durable, only, prepared, shielded
+from .common import components, durable, forget, only, prepared, shielded
 
 BITS = 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width; short ones are padded with zero bits
@@ -267,71 +267,155 @@ def shingles(text: str, words: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in joined]), np.dtype(">u8")).astype(np.uint64))
 
 
-def heads(classes: DataFrame, most: int = 3) -> DataFrame:
-    """(fingerprint, head) for ``classes`` (fingerprint, _doc, _turn): rows that may stay in its place, each a struct of _doc and _turn.
+#: Five blocks of bits (first and width): two fingerprints that differ in at most 3 bits agree in two whole blocks at least.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+SKETCH = 128  # counts of a sketch
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall into each of ``SKETCH`` classes, up to 255: two sets differ in at least as many hashes as their sketches' counts."""
+    return np.minimum(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
-    Each fingerprint looks up, at all of its fuzzy keys, the smallest row whose decoded pair of indices that key is. It is a head if it is smaller and within
-    ``most`` bits. A key has one head, so there are at most as many candidates as keys, however crowded a bucket is.
+
+def partners(rows: DataFrame, most: int = 3, similarity: float = 0.8, limit: int = 4, block: int = 4096) -> DataFrame:
+    """(_d, _t, _hd, _ht, _more): for each open row of ``rows`` the smaller rows within ``most`` (up to 3) bits that may be alike, after its cursor.
+
+    ``rows`` has _doc, _turn, fingerprint, _n and _sketch (number of shingles and their :func:`sketch`), _open, _cd and _ct (the cursor). Every pair of rows
+    within reach meets under one of ten keys, and only pairs whose sketches rule the similarity out are left out. A row gets the ``limit`` smallest
+    partners of each bucket; _more marks the last of these if the bucket has others, so that a later call goes on after it. A key of more than ``block`` rows
+    is compared block by block, each pair of blocks as a bucket of its own.
     """
+    if not 0 <= most <= 3:
+        raise ValueError("the keys find up to 3 bits")
+    plain = ["_doc", "_turn", "fingerprint", "_n", "_sketch", "_open", "_cd", "_ct"]
+    schema = "_doc long, _turn int, fingerprint long, _n int, _sketch binary, _open boolean, _cd long, _ct int"
+
+    def emit(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                u = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+                parts = [((u >> np.uint64(x)) & np.uint64((1 << w) - 1)).astype(np.int64) for x, w in BLOCKS]
+                for p, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
+                    yield pa.RecordBatch.from_arrays([pa.array((p << 26) + (parts[i] << 13) + parts[j]), *b.columns], names=["key", *plain])
+
+    keyed = rows.select(*plain).mapInArrow(emit, f"key long, {schema}")
+    narrow = rows.select(*plain[:3], F.lit(0).alias("_n"), F.lit(b"").alias("_sketch"), "_open", "_cd", "_ct").mapInArrow(emit, f"key long, {schema}")
+    sizes = narrow.groupBy("key").agg(F.count("*").alias("n"), F.max("_open").alias("asked")).where("n > 1 and asked")
+    sizes = durable(sizes.select(F.col("key").alias("_key"), F.ceil(F.col("n") / F.lit(block)).cast("int").alias("n")))
+    met = keyed.join(sizes, F.col("key") == F.col("_key")).drop("_key")
+    mine = F.pmod(F.xxhash64("_doc", "_turn"), F.col("n")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    yes, no = F.lit(True), F.lit(False)
+    few = met.where("n = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *plain, F.col("_open").alias("ask"), yes.alias("told"))
+    crowd = met.where("n > 1")
+    asking = crowd.where("_open").select("key", mine.alias("i"), other.alias("j"), *plain, yes.alias("ask"), no.alias("told"))
+    telling = crowd.select("key", other.alias("i"), mine.alias("j"), *plain, no.alias("ask"), yes.alias("told"))
+    share = (1 - similarity) / (1 + similarity)
+
+    def bucketed(t: pa.Table):
+        """Partners in whole buckets, whose rows come by bucket, _doc and _turn."""
+        key, i, j, doc, turn, u, n, cd, ct, ask, told = (
+            np.array(t.column(c).to_numpy()) for c in ("key", "i", "j", "_doc", "_turn", "fingerprint", "_n", "_cd", "_ct", "ask", "told")
+        )
+        u, sketches = u.view(np.uint64), np.frombuffer(b"".join(t.column("_sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1).astype(np.int16)
+        first = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+        asks = np.flatnonzero(ask & (np.arange(len(key)) > start))
+        before = np.cumsum(asks - start[asks]) >> 20
+        for part in np.split(asks, np.flatnonzero(before[1:] != before[:-1]) + 1):
+            m = part - start[part]
+            x = np.repeat(part, m)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + start[x]
+            hit = told[y] & (np.bitwise_count(u[x] ^ u[y]) <= most)
+            x, y = x[hit], y[hit]
+            hit = ((doc[y] < doc[x]) | (turn[y] < turn[x])) & ((doc[y] > cd[x]) | (doc[y] == cd[x]) & (turn[y] > ct[x]))
+            hit &= np.abs(n[x] - n[y]) <= share * (n[x] + n[y]) + 1e-6
+            x, y = x[hit], y[hit]
+            apart = [np.abs(sketches[x[k : k + 8192]] - sketches[y[k : k + 8192]]).sum(axis=1) for k in range(0, len(x), 8192)]
+            hit = np.concatenate(apart) <= share * (n[x] + n[y]) + 1e-6 if apart else np.empty(0, bool)
+            x, y = x[hit], y[hit]
+            if not len(x):
+                continue
+            new = np.concatenate(([True], x[1:] != x[:-1]))
+            turns = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            more = np.concatenate((~new[1:], [False])) & (turns == limit - 1)
+            keep = turns < limit
+            x, y = x[keep], y[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(turn[x]), pa.array(doc[y]), pa.array(turn[y]), pa.array(more[keep])], names=["_d", "_t", "_hd", "_ht", "_more"])
 
-    def emit(decoded):
-        def run(batches):
-            for b in batches:
-                p, doc, turn = (np.array(b.column(c).to_numpy(zero_copy_only=False)) for c in range(3))
-                for at in range(0, len(p), 4096):
-                    part = slice(at, at + 4096)
-                    k, i, near = keys(np.ascontiguousarray(p[part]))
-                    if decoded:
-                        k, i = k[near], i[near]
-                    cols = (k, p[part][i], doc[part][i], turn[part][i])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fingerprint", "_doc", "_turn"])
+    def scan(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from bucketed(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield from bucketed(held)
+
+    buckets = few.unionByName(asking).unionByName(telling).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_doc", "_turn")
+    found = buckets.mapInArrow(scan, "_d long, _t int, _hd long, _ht int, _more boolean")
+    return found.groupBy("_d", "_t", "_hd", "_ht").agg(F.max("_more").alias("_more"))
 
-        return classes.select("fingerprint", "_doc", "_turn").mapInArrow(run, "key long, fingerprint long, _doc long, _turn int")
 
-    near = emit(True).groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("_doc", "_turn", "fingerprint")).alias("_h"))
-    within_ = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("_h.fingerprint"))) <= most
-    smaller = F.struct("_h._doc", "_h._turn") < F.struct("_doc", "_turn")
-    found = emit(False).join(near, (F.col("key") == F.col("_key")) & within_ & smaller)
-    return found.select("fingerprint", F.struct(F.col("_h._doc").alias("_doc"), F.col("_h._turn").alias("_turn")).alias("head")).distinct()
+def _open(rows: DataFrame) -> DataFrame:
+    """``rows`` all open, with a cursor before everything."""
+    return rows.withColumn("_open", F.lit(True)).withColumn("_cd", F.lit(-(1 << 63))).withColumn("_ct", F.lit(-1))
+
+
+def heads(classes: DataFrame, most: int = 3) -> DataFrame:
+    """(fingerprint, head) for ``classes`` (fingerprint, _doc, _turn): all smaller rows within ``most`` bits, each a struct of _doc and _turn."""
+    bare = _open(classes.select("_doc", "_turn", "fingerprint", F.lit(0).alias("_n"), F.lit(bytes(SKETCH)).alias("_sketch")))
+    found = partners(bare, most, limit=1 << 30)
+    of = classes.join(found, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")))
+    return of.select("fingerprint", F.struct(F.col("_hd").alias("_doc"), F.col("_ht").alias("_turn")).alias("head")).distinct()
 
 
 def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, most: int = 3, verify: int = 5, similarity: float = 0.8) -> DataFrame:
     """``df`` without near duplicates: a row goes if a row with a smaller ``key`` that it is compared with is alike, so the smallest of a group stays.
 
-    Rows of one text are compared with the smallest of them. That one is compared with the smallest of its fingerprint, over ``words``-word shingles, and with
-    the heads that its fuzzy keys find, see :func:`heads`. Alike are texts whose sets of ``verify``-word shingles have a Jaccard similarity of at least ``similarity``; texts that only
+    Rows of one fingerprint and one set of shingles (by a 128-bit hash) are alike; the smallest of them is compared with every smaller text whose fingerprint, over ``words``-word shingles, is within ``most``
+    bits, see :func:`partners`: first with the smallest of its fingerprint, then, while none is alike, with more and more of the others until all have
+    been seen. Alike are texts whose sets of ``verify``-word shingles have a Jaccard similarity of at least ``similarity``; texts that only
     their fingerprints join stay. Texts without a word are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are
     one, whichever stays.
     """
     df, names, to = shielded(df)
     key, text = to[key], to[text]
     rows = prepared(df, key, text)
-    keyed = rows.select(F.struct("_doc", "_turn", F.xxhash64(F.coalesce(text, F.lit(""))).alias("_same")).alias("_key"), F.col(text).alias("_text"))
-    made = durable(fingerprints(keyed, "_key", "_text", words).select("_key._doc", "_key._turn", "_key._same", "fingerprint"))
+    texts = rows.select("_doc", "_turn", F.col(text).alias("_text"))
+
+    def printed(batches):
+        for b in bpe.small(batches):
+            texts = bpe.texts_of(b.column("_text"))
+            prints = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
+            sets = [shingles(x, verify) for x in texts]
+            same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            cols = [b.column("_doc"), b.column("_turn"), pa.array(same, pa.binary()), pa.array(prints), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_doc", "_turn", "_same", "fingerprint", "_n", "_sketch"])
+
+    made = durable(texts.mapInArrow(printed, "_doc long, _turn int, _same binary, fingerprint long, _n int, _sketch binary"))
     me = F.struct("_doc", "_turn")
-    firsts = durable(made.groupBy("fingerprint", "_same").agg(F.min(me).alias("_first")))  # of each text
-    equal = firsts.select(F.col("fingerprint").alias("_f"), F.col("_same").alias("_s"), "_first")
-    copies = made.join(equal, (F.col("fingerprint") == F.col("_f")) & (F.col("_same") == F.col("_s"))).where(me != F.col("_first"))
-    texts_ = firsts.select("fingerprint", "_first._doc", "_first._turn")
-    least = durable(texts_.groupBy("fingerprint").agg(F.min(me).alias("_first")))
-    candidates = heads(least.select("fingerprint", "_first._doc", "_first._turn"), most)
-    candidates = candidates.unionByName(least.select("fingerprint", F.col("_first").alias("head"))).withColumnRenamed("fingerprint", "_f")
-    others = texts_.join(candidates, F.col("fingerprint") == F.col("_f")).where(me != F.col("head"))
-    pairs = copies.select("_doc", "_turn", F.col("_first").alias("head")).unionByName(others.select("_doc", "_turn", "head"))
-    pairs = durable(pairs.select(F.col("_doc").alias("_d"), F.col("_turn").alias("_t"), F.col("head._doc").alias("_hd"), F.col("head._turn").alias("_ht")))
-    involved = pairs.select("_d", "_t").union(pairs.select("_hd", "_ht")).distinct()
-    texts = rows.select("_doc", "_turn", F.col(text).alias("_text")).join(involved, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")))
+    firsts = made.groupBy("fingerprint", "_same").agg(F.min(F.struct("_doc", "_turn", "_n", "_sketch")).alias("_first"))  # of each set of shingles
+    texts_ = durable(firsts.select("fingerprint", "_same", "_first.*"))
+    equal = texts_.select(F.col("fingerprint").alias("_f"), F.col("_same").alias("_s"), F.col("_doc").alias("_hd"), F.col("_turn").alias("_ht"))
+    head = F.struct("_hd", "_ht")
+    copies = made.join(equal, (F.col("fingerprint") == F.col("_f")) & (F.col("_same") == F.col("_s"))).where(me != head)
+    least = texts_.groupBy(F.col("fingerprint").alias("_f")).agg(F.min(F.struct("_doc", "_turn", "_n")).alias("_first"))
+    least = least.select("_f", F.col("_first._doc").alias("_hd"), F.col("_first._turn").alias("_ht"), F.col("_first._n").alias("_m"))
+    others = texts_.join(least, F.col("fingerprint") == F.col("_f")).where(me != head)
+    others = others.where(F.abs(F.col("_n") - F.col("_m")) <= (1 - similarity) / (1 + similarity) * (F.col("_n") + F.col("_m")) + 1e-6)
+    names_ = [F.col("_doc").alias("_d"), F.col("_turn").alias("_t"), "_hd", "_ht"]
 
     def hashed(batches):
         for b in bpe.small(batches):
             sets = [shingles(x, verify).tobytes() for x in bpe.texts_of(b.column("_text"))]
             yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_turn"), pa.array(sets, pa.binary())], names=["_sd", "_st", "_set"])
 
-    sets = durable(texts.select("_doc", "_turn", "_text").mapInArrow(hashed, "_sd long, _st int, _set binary"))
-    mine = pairs.join(sets, (F.col("_d") == F.col("_sd")) & (F.col("_t") == F.col("_st"))).select("_d", "_t", "_hd", "_ht", "_set")
-    other = sets.select(F.col("_sd").alias("_od"), F.col("_st").alias("_ot"), F.col("_set").alias("_other"))
-    both = mine.join(other, (F.col("_hd") == F.col("_od")) & (F.col("_ht") == F.col("_ot"))).select("_d", "_t", "_set", "_other")
-
     def compared(batches):
         for b in bpe.small(batches):
             near = []
@@ -344,5 +428,32 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
                 near.append(common >= similarity * (len(u) + len(v) - common))
             yield b.select(["_d", "_t"]).filter(pa.array(near, pa.bool_()))
 
-    gone = durable(both.mapInArrow(compared, "_d long, _t int").distinct())
-    return rows.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")), "left_anti").select(*[F.col(to[c]).alias(c) for c in names])
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(_d, _t) of the ``pairs`` that are alike."""
+        involved = pairs.select("_d", "_t").union(pairs.select("_hd", "_ht")).distinct()
+        texts = rows.select("_doc", "_turn", F.col(text).alias("_text")).join(involved, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")))
+        sets = durable(texts.select("_doc", "_turn", "_text").mapInArrow(hashed, "_sd long, _st int, _set binary"))
+        mine = pairs.join(sets, (F.col("_d") == F.col("_sd")) & (F.col("_t") == F.col("_st"))).select("_d", "_t", "_hd", "_ht", "_set")
+        other = sets.select(F.col("_sd").alias("_od"), F.col("_st").alias("_ot"), F.col("_set").alias("_other"))
+        both = mine.join(other, (F.col("_hd") == F.col("_od")) & (F.col("_ht") == F.col("_ot"))).select("_d", "_t", "_set", "_other")
+        gone = durable(both.mapInArrow(compared, "_d long, _t int").distinct())
+        forget(sets)
+        return gone
+
+    gone = durable(copies.select(*names_[:2])).unionByName(alike(durable(others.select(*names_))))
+    is_ = (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t"))
+    state = _open(texts_).join(gone.withColumn("_gone", F.lit(True)), is_, "left").withColumn("_open", F.col("_gone").isNull()).drop("_d", "_t", "_gone")
+    limit = 4
+    while True:
+        found = durable(partners(state, most, similarity, limit))
+        if not found.limit(1).count():
+            break
+        now = alike(found)
+        gone = gone.unionByName(now)
+        left = found.where("_more").groupBy("_d", "_t").agg(F.min(F.struct("_hd", "_ht")).alias("_to")).join(now, ["_d", "_t"], "left_anti")
+        left = durable(left.select("_d", "_t", F.col("_to._hd").alias("_cd"), F.col("_to._ht").alias("_ct")))
+        if not left.limit(1).count():
+            break
+        state = texts_.join(left, is_, "left").withColumn("_open", F.col("_d").isNotNull()).drop("_d", "_t")
+        limit *= 8
+    return rows.join(gone, is_, "left_anti").select(*[F.col(to[c]).alias(c) for c in names])

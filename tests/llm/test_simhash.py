@@ -176,3 +176,38 @@ def test_exact_copies_go_whatever_else_they_resemble(spark):
         rows += [(3 * i + j, " ".join(base)) for j in range(3)]
     got = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(r.doc_id for r in got) == list(range(0, 36, 3))
+
+
+def test_every_earlier_text_within_reach_is_a_partner(spark):
+    """Crowded buckets whose smallest row is out of reach, block by block or not; a limit only puts partners off."""
+    prints = cluster_prints()
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    want = {(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    classes = spark.createDataFrame([(x, i, 0) for i, x in enumerate(signed)], "fingerprint long, _doc long, _turn int")
+    at = {x: i for i, x in enumerate(signed)}
+    assert {(at[r.fingerprint], r.head._doc) for r in simhash.heads(classes).collect()} == want
+    rows = simhash._open(classes.selectExpr("*", "0 _n", "X'00' _sketch"))
+    assert {(r._d, r._hd) for r in simhash.partners(rows, limit=1 << 30, block=16).collect()} == want
+    first = simhash.partners(rows, limit=2, block=16).collect()
+    assert {(r._d, r._hd) for r in first} < want and any(r._more for r in first)
+
+
+def test_near_copies_of_a_later_text_of_the_fingerprint_go(spark):
+    """The same words in many orders share a fingerprint; a near copy of any of the orders goes, not only one of the smallest."""
+    random.seed(10)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(200)]
+    orders = [random.sample(base, 200) for _ in range(12)]
+    swapped = [[*o[:100], o[101], o[100], *o[102:]] for o in orders]
+    rows = [(i, " ".join(o)) for i, o in enumerate(orders + swapped)]
+    got = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(12))
+
+
+def test_sketches_never_rule_out_alike_sets():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        n = int(rng.integers(1, 60_000)) if _ % 10 == 0 else int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[int(len(a) * rng.uniform(0, 0.2)) :], rng.integers(0, 1 << 62, int(n * rng.uniform(0, 0.1))).astype(np.uint64))))
+        x, y = (np.frombuffer(simhash.sketch(s), np.uint8).astype(int) for s in (a, b))
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
