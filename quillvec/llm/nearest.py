@@ -44,14 +44,18 @@ def exact(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def thin(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Without rows that can't win a tie: of equal vectors, the k + 1 smallest ids (one may be a query's own)."""
+    """Without rows that can't win a tie: of equal vectors, up to k rows of each of the k + 1 smallest ids (one may be a query's own)."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], np.ascontiguousarray(x[order])
     same = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
     by = np.argsort(same, kind="stable")
+    at = np.arange(len(by))
     first = np.concatenate(([True], same[by][1:] != same[by][:-1]))
-    turn = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
-    keep = np.sort(by[turn <= k])
+    new = first | np.concatenate(([True], ids[by][1:] != ids[by][:-1]))
+    row = at - np.maximum.accumulate(np.where(new, at, 0))  # of its id
+    turn = np.cumsum(new)
+    turn -= np.maximum.accumulate(np.where(first, turn, 0))  # of its id among those of the vector
+    keep = np.sort(by[(turn <= k) & (row < k)])
     return ids[keep], x[keep]
 
 

@@ -61,3 +61,10 @@ def test_more_ties_than_places(spark):
     for r in nearest.nearest(df, F.col("vec_id") % 10 == 0, k=3).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {0: [1, 2, 3], 10: [0, 1, 2], 20: [0, 1, 2], 30: [0, 1, 2], 40: [0, 1, 2]}
+
+
+def test_repeated_rows_of_a_query_take_no_places(spark):
+    rows = [(0, [1.0, 2.0])] * 6 + [(1, [1.0, 2.0])] * 2 + [(i, [1.0, 2.0]) for i in range(2, 6)] + [(9, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted((r.rank, r.vec_id, r.score) for r in nearest.nearest(df, F.col("vec_id") == 0, k=4).collect())
+    assert got == [(1, 1, 0.0), (2, 1, 0.0), (3, 2, 0.0), (4, 3, 0.0)]
