@@ -5,10 +5,14 @@ word has one codeword within distance 3, and the word with at most one other bit
 segment's fuzzy keys are the indices of all codewords within distance 4 (one or six). Two fingerprints that differ in
 at most 3 bits have two segments with at most one error each, by pigeonhole; so the decoded index of either one is among the
 other's keys there. For each pair of segments, the decoded pair of indices ("near") meets every pair of keys ("far").
+
+:func:`distinct` has five whole segments, over the distinct words of a text, and all keys of both sides meet: that bridges two errors in
+a segment, so texts with a five-word similarity of 0.8 meet under some pair of segments.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import components, durable, forget, only, prepared, shielded
+from .common import components, durable, forget, only, partitions, prepared, shielded
 
 BITS = 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width; short ones are padded with zero bits
@@ -267,193 +271,319 @@ def shingles(text: str, words: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, 42) for s in joined]), np.dtype(">u8")).astype(np.uint64))
 
 
-#: Five blocks of bits (first and width): two fingerprints that differ in at most 3 bits agree in two whole blocks at least.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: The wide fingerprint has five whole segments of 23 bits.
+WIDE = 5
+WIDE_PAIRS = tuple(combinations(range(WIDE), 2))
+FAR = 12  # of the 64 bits that come along with a key, so many may differ
+CROWD = 64  # rows up to which a bucket's pairs are all looked at
+#: Sizes of sets, in sixteenths of a doubling: two sets with a similarity of 0.8 are within 6 of them.
+STEPS, APART = 16, 6
 SKETCH = 128  # counts of a sketch
+FEW = 200_000  # rows (of three numbers) up to which a table is broadcast
+_ROW = np.dtype([("key", "<u4"), ("id", "<i8"), ("rest", "<u8"), ("size", "u1")])
+_LATER = np.dtype([*_ROW.descr, ("ask", "u1"), ("label", "<i8"), ("after", "<i8")])
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """How many of the hashes fall into each of ``SKETCH`` classes, up to 255: two sets differ in at least as many hashes as their sketches' counts."""
-    return np.minimum(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+class _Digests(dict):
+    """128-bit hashes of words; emptied when full."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        h = xxhash.xxh3_128_digest(word, 42)
+        if len(word) <= 40:
+            if len(self) > 100_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+@lru_cache(maxsize=1)
+def _digests() -> _Digests:
+    return _Digests()
+
+
+def wide_print(text: str) -> bytes:
+    """SimHash of 115 bits (16 bytes, the last bits unused) over the distinct lower-case words of a text; zeros without a word."""
+    words = set(text.encode().lower().split())
+    raw = np.frombuffer(b"".join(map(_digests().__getitem__, words)), np.uint8).reshape(len(words), 16)
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(words), 1 << 14):
+        ones += np.unpackbits(raw[at : at + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    ones[23 * WIDE :] = 0
+    return np.packbits(2 * ones > len(words)).tobytes()
 
 
-def partners(rows: DataFrame, most: int = 3, similarity: float = 0.8, limit: int = 4, block: int = 4096) -> DataFrame:
-    """(_d, _t, _hd, _ht, _more): for each open row of ``rows`` the smaller rows within ``most`` (up to 3) bits that may be alike, after its cursor.
+def wide_keys(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of wide fingerprints (rows of 16 bytes), pair of segments by pair: key, position of the fingerprint, 64 bits of its other segments.
 
-    ``rows`` has _doc, _turn, fingerprint, _n and _sketch (number of shingles and their :func:`sketch`), _open, _cd and _ct (the cursor). Every pair of rows
-    within reach meets under one of ten keys, and only pairs whose sketches rule the similarity out are left out. A row gets the ``limit`` smallest
-    partners of each bucket; _more marks the last of these if the bucket has others, so that a later call goes on after it. A key of more than ``block`` rows
-    is compared block by block, each pair of blocks as a bucket of its own.
+    Two words of 23 bits that differ in at most two have a codeword within distance 4 of both. So two fingerprints meet if two of their
+    segments differ in at most two bits each: always if they differ in at most 11, mostly if they differ in some more.
     """
-    if not 0 <= most <= 3:
-        raise ValueError("the keys find up to 3 bits")
-    plain = ["_doc", "_turn", "fingerprint", "_n", "_sketch", "_open", "_cd", "_ct"]
-    schema = "_doc long, _turn int, fingerprint long, _n int, _sketch binary, _open boolean, _cd long, _ct int"
+    bits = np.unpackbits(prints, axis=1)[:, : 23 * WIDE].reshape(len(prints), WIDE, 23)
+    parts = bits.astype(np.int32) @ (1 << np.arange(23, dtype=np.int32))
+    lists = [fuzzy(parts[:, s]) for s in range(WIDE)]
+    six = np.arange(6)
+    for p, (i, j) in enumerate(WIDE_PAIRS):
+        a, b, c = (parts[:, s].astype(np.uint64) for s in range(WIDE) if s not in (i, j))
+        rest = a | b << np.uint64(23) | c << np.uint64(46)
+        (ci, ni), (cj, nj) = lists[i], lists[j]
+        at, x, y = np.nonzero((six < ni[:, None])[:, :, None] & (six < nj[:, None])[:, None, :])
+        yield ((p << 24) + (ci[at, x].astype(np.uint32) << 12) + cj[at, y]).astype(np.uint32), at, rest[at]
+
+
+def _small(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (larger id, smaller id) within reach in buckets of few rows, which come by key and id."""
+    start = np.repeat(first, size)
+    asks = np.flatnonzero((np.repeat(size, size) <= CROWD) & (np.arange(len(rows)) > start))
+    for part in np.array_split(asks, 1 + int((asks - start[asks]).sum()) // (1 << 20)):
+        n = part - start[part]
+        x = np.repeat(part, n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + start[x]
+        near = np.bitwise_count(rows["rest"][x] ^ rows["rest"][y]) <= FAR
+        x, y = x[near], y[near]
+        near = np.abs(rows["size"][x].astype(np.int16) - rows["size"][y]) <= APART
+        yield rows["id"][x[near]], rows["id"][y[near]]
 
-    def emit(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                u = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-                parts = [((u >> np.uint64(x)) & np.uint64((1 << w) - 1)).astype(np.int64) for x, w in BLOCKS]
-                for p, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)):
-                    yield pa.RecordBatch.from_arrays([pa.array((p << 26) + (parts[i] << 13) + parts[j]), *b.columns], names=["key", *plain])
-
-    keyed = rows.select(*plain).mapInArrow(emit, f"key long, {schema}")
-    narrow = rows.select(*plain[:3], F.lit(0).alias("_n"), F.lit(b"").alias("_sketch"), "_open", "_cd", "_ct").mapInArrow(emit, f"key long, {schema}")
-    sizes = narrow.groupBy("key").agg(F.count("*").alias("n"), F.max("_open").alias("asked")).where("n > 1 and asked")
-    sizes = durable(sizes.select(F.col("key").alias("_key"), F.ceil(F.col("n") / F.lit(block)).cast("int").alias("n")))
-    met = keyed.join(sizes, F.col("key") == F.col("_key")).drop("_key")
-    mine = F.pmod(F.xxhash64("_doc", "_turn"), F.col("n")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    yes, no = F.lit(True), F.lit(False)
-    few = met.where("n = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *plain, F.col("_open").alias("ask"), yes.alias("told"))
-    crowd = met.where("n > 1")
-    asking = crowd.where("_open").select("key", mine.alias("i"), other.alias("j"), *plain, yes.alias("ask"), no.alias("told"))
-    telling = crowd.select("key", other.alias("i"), mine.alias("j"), *plain, no.alias("ask"), yes.alias("told"))
-    share = (1 - similarity) / (1 + similarity)
 
-    def bucketed(t: pa.Table):
-        """Partners in whole buckets, whose rows come by bucket, _doc and _turn."""
-        key, i, j, doc, turn, u, n, cd, ct, ask, told = (
-            np.array(t.column(c).to_numpy()) for c in ("key", "i", "j", "_doc", "_turn", "fingerprint", "_n", "_cd", "_ct", "ask", "told")
-        )
-        u, sketches = u.view(np.uint64), np.frombuffer(b"".join(t.column("_sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1).astype(np.int16)
-        first = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        asks = np.flatnonzero(ask & (np.arange(len(key)) > start))
-        before = np.cumsum(asks - start[asks]) >> 20
-        for part in np.split(asks, np.flatnonzero(before[1:] != before[:-1]) + 1):
-            m = part - start[part]
-            x = np.repeat(part, m)
-            y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + start[x]
-            hit = told[y] & (np.bitwise_count(u[x] ^ u[y]) <= most)
-            x, y = x[hit], y[hit]
-            hit = ((doc[y] < doc[x]) | (turn[y] < turn[x])) & ((doc[y] > cd[x]) | (doc[y] == cd[x]) & (turn[y] > ct[x]))
-            hit &= np.abs(n[x] - n[y]) <= share * (n[x] + n[y]) + 1e-6
-            x, y = x[hit], y[hit]
-            apart = [np.abs(sketches[x[k : k + 8192]] - sketches[y[k : k + 8192]]).sum(axis=1) for k in range(0, len(x), 8192)]
-            hit = np.concatenate(apart) <= share * (n[x] + n[y]) + 1e-6 if apart else np.empty(0, bool)
-            x, y = x[hit], y[hit]
-            if not len(x):
+def crowded(ask: np.ndarray, tell: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``ask`` the first ``limit`` rows of ``tell`` with a smaller id within reach; more marks the last of those that have others.
+
+    Both come by id. In later rounds partners must be after a row's cursor and have another label.
+    """
+    later = "label" in ask.dtype.names
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(ask), 256):
+        block = ask[at : at + 256]
+        found, last, more = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64), np.zeros(len(block), bool)
+        open_ = np.arange(len(block))
+        made = []
+        for to in range(0, len(tell), 2048):
+            a, t = block[open_], tell[to : to + 2048]
+            if not len(a) or t["id"][0] >= a["id"].max():
+                break
+            hit = np.bitwise_count(a["rest"][:, None] ^ t["rest"][None]) <= FAR
+            hit &= (t["id"][None] < a["id"][:, None]) & (np.abs(a["size"][:, None].astype(np.int16) - t["size"][None]) <= APART)
+            if later:
+                hit &= (t["label"][None] != a["label"][:, None]) & (t["id"][None] > a["after"][:, None])
+            turn = found[open_][:, None] + np.cumsum(hit, axis=1)
+            x, y = np.nonzero(hit & (turn <= limit))
+            made.append((open_[x], t["id"][y]))
+            last[open_[x]] = t["id"][y]  # of several the last one counts
+            found[open_] = turn[:, -1]
+            more[open_] |= turn[:, -1] > limit
+            open_ = open_[found[open_] <= limit]
+        if made:
+            x, y = (np.concatenate(z) for z in zip(*made, strict=True))
+            out.append((block["id"][x], y, more[x] & (y == last[x])))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int = 1 << 21) -> DataFrame:
+    """(x, y, more): ids of rows of ``rows`` whose wide fingerprints meet under a key and are within reach, y the smaller id.
+
+    ``rows`` has id (no two alike), print and n (the size of the set). All pairs of a bucket of up to ``CROWD`` rows come; a row of a larger one gets its
+    ``limit`` first partners there, the last marked with more if there are others. If ``rows`` also has ask, label and after, only these are
+    looked for: partners in larger buckets of the rows that ask, with another label, and an id beyond ``after``.
+
+    Each task of the first step sends what belongs to one stretch of keys as one packed row. A task of the second holds a stretch, about ``held`` rows of it at
+    most: rows of a key with more than ``block`` are passed on and compared block by block, each pair of blocks in a task of its own.
+    """
+    later = "label" in rows.columns
+    kind = _LATER if later else _ROW
+    tasks = partitions(rows.sparkSession)
+    stretches = 16 * tasks
+
+    def emit(batches):
+        for b in bpe.small(batches, 1024 if later else 2048):
+            ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
+            prints = np.frombuffer(b"".join(b.column("print").to_pylist()), np.uint8).reshape(-1, 16)
+            if not len(ids):
+                continue
+            sizes = np.round(np.log2(np.maximum(n, 1)) * STEPS).clip(0, 255).astype(np.uint8)
+            made = []
+            for key, at, rest in wide_keys(prints):
+                r = np.empty(len(key), kind)
+                r["key"], r["id"], r["rest"], r["size"] = key, ids[at], rest, sizes[at]
+                if later:
+                    for c in ("ask", "label", "after"):
+                        r[c] = b.column(c).to_numpy(zero_copy_only=False)[at]
+                made.append(r)
+            r = np.concatenate(made)
+            stretch = ((r["key"] * np.uint32(2654435761)).astype(np.uint64) * np.uint64(stretches) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(stretch, kind="stable")
+            r, stretch = r[order], stretch[order]
+            first = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
+            ends = (np.append(first, len(r)) * kind.itemsize).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(r.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(stretch[first]), packed], names=["stretch", "packed"])
+
+    def batch(x, y, more, big=None):
+        n = len(x) if big is None else len(big)
+        none = pa.nulls(n, pa.int64())
+        cols = [none, none, pa.nulls(n, pa.bool_()), pa.array(big["key"].astype(np.int64)), pa.array([v.tobytes() for v in big], pa.binary())] if big is not None else [pa.array(x), pa.array(y), pa.array(more), none, pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["x", "y", "more", "key", "row"])
+
+    def looked(r, large):
+        """Partners in a whole stretch."""
+        r = r[np.lexsort((r["id"], r["key"]))]
+        first = np.flatnonzero(np.concatenate(([True], r["key"][1:] != r["key"][:-1])))
+        size = np.diff(np.append(first, len(r)))
+        if not later:
+            for x, y in _small(r, first, size):
+                yield batch(x, y, np.zeros(len(x), bool))
+        for g in np.flatnonzero(size > CROWD).tolist():
+            s = r[first[g] : first[g] + size[g]]
+            if later and (not s["ask"].any() or (s["label"] == s["label"][0]).all()):
                 continue
-            new = np.concatenate(([True], x[1:] != x[:-1]))
-            turns = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-            more = np.concatenate((~new[1:], [False])) & (turns == limit - 1)
-            keep = turns < limit
-            x, y = x[keep], y[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(turn[x]), pa.array(doc[y]), pa.array(turn[y]), pa.array(more[keep])], names=["_d", "_t", "_hd", "_ht", "_more"])
+            if len(s) > block:
+                yield batch(None, None, None, s)
+            else:
+                yield batch(*crowded(s[s["ask"] > 0] if later else s, s, limit))
 
     def scan(batches):
-        held = None
+        at, parts, n, room, large = None, [], 0, held, np.empty(0, np.uint32)
         for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from bucketed(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None and held.num_rows:
-            yield from bucketed(held)
-
-    buckets = few.unionByName(asking).unionByName(telling).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_doc", "_turn")
-    found = buckets.mapInArrow(scan, "_d long, _t int, _hd long, _ht int, _more boolean")
-    return found.groupBy("_d", "_t", "_hd", "_ht").agg(F.max("_more").alias("_more"))
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """``rows`` all open, with a cursor before everything."""
-    return rows.withColumn("_open", F.lit(True)).withColumn("_cd", F.lit(-(1 << 63))).withColumn("_ct", F.lit(-1))
-
-
-def heads(classes: DataFrame, most: int = 3) -> DataFrame:
-    """(fingerprint, head) for ``classes`` (fingerprint, _doc, _turn): all smaller rows within ``most`` bits, each a struct of _doc and _turn."""
-    bare = _open(classes.select("_doc", "_turn", "fingerprint", F.lit(0).alias("_n"), F.lit(bytes(SKETCH)).alias("_sketch")))
-    found = partners(bare, most, limit=1 << 30)
-    of = classes.join(found, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")))
-    return of.select("fingerprint", F.struct(F.col("_hd").alias("_doc"), F.col("_ht").alias("_turn")).alias("head")).distinct()
-
-
-def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 1, most: int = 3, verify: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``df`` without near duplicates: a row goes if a row with a smaller ``key`` that it is compared with is alike, so the smallest of a group stays.
-
-    Rows of one fingerprint and one set of shingles (by a 128-bit hash) are alike; the smallest of them is compared with every smaller text whose fingerprint, over ``words``-word shingles, is within ``most``
-    bits, see :func:`partners`: first with the smallest of its fingerprint, then, while none is alike, with more and more of the others until all have
-    been seen. Alike are texts whose sets of ``verify``-word shingles have a Jaccard similarity of at least ``similarity``; texts that only
-    their fingerprints join stay. Texts without a word are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are
-    one, whichever stays.
+            for stretch, packed in zip(b.column("stretch").to_pylist(), b.column("packed"), strict=True):
+                if stretch != at:
+                    if n:
+                        yield from looked(np.concatenate(parts), large)
+                    at, parts, n, room, large = stretch, [], 0, held, np.empty(0, np.uint32)
+                r = np.frombuffer(packed.as_buffer(), kind)
+                if len(large):
+                    known = np.isin(r["key"], large)
+                    yield batch(None, None, None, r[known])
+                    r = r[~known]
+                parts.append(r)
+                n += len(r)
+                if n > room:
+                    r = np.concatenate(parts)
+                    keys_, counts = np.unique(r["key"], return_counts=True)
+                    large = np.union1d(large, keys_[counts > block])
+                    known = np.isin(r["key"], large)
+                    yield batch(None, None, None, r[known])
+                    parts = [r[~known]]
+                    n = len(parts[0])
+                    room = max(held, 2 * n)
+        if n:
+            yield from looked(np.concatenate(parts), large)
+
+    columns = ["id", "print", "n", *(["ask", "label", "after"] if later else [])]
+    sent = rows.select(*columns).mapInArrow(emit, "stretch int, packed binary").repartition(tasks, "stretch").sortWithinPartitions("stretch")
+    found = durable(sent.mapInArrow(scan, "x long, y long, more boolean, key long, row binary"))
+    pairs = found.where("key IS NULL").select("x", "y", "more")
+    big = found.where("key IS NOT NULL").select("key", "row")
+    if big.limit(1).count():
+        sizes = big.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+        mine = F.pmod(F.xxhash64("row"), F.col("n")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+        both = big.join(sizes, "key")
+        asking = both.select("key", mine.alias("i"), other.alias("j"), "row", F.lit(True).alias("asks"))
+        telling = both.select("key", other.alias("i"), mine.alias("j"), "row", F.lit(False).alias("asks"))
+
+        def compare(table: pa.Table) -> pa.Table:
+            asks = np.array(table.column("asks").to_numpy())
+            r = np.frombuffer(b"".join(table.column("row").to_pylist()), kind)
+            a, t = (x[np.argsort(x["id"])] for x in (r[asks], r[~asks]))
+            x, y, more = crowded(a[a["ask"] > 0] if later else a, t, limit)
+            return pa.table({"x": x, "y": y, "more": more})
+
+        pairs = pairs.unionByName(asking.unionByName(telling).groupBy("key", "i", "j").applyInArrow(compare, "x long, y long, more boolean"))
+    return pairs.groupBy("x", "y").agg(F.max("more").alias("more"))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall into each of ``SKETCH`` classes, up to 255: two sets differ in at least as many hashes as their sketches' counts."""
+    return np.minimum(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def _beside(df: DataFrame, other: DataFrame, on) -> DataFrame:
+    """A join with ``other``, broadcast if it has at most ``FEW`` rows; those are counted."""
+    return df.join(F.broadcast(other) if other.count() <= FEW else other, on)
+
+
+def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int = 5, similarity: float = 0.8, limit: int = 4, block: int = 1 << 14) -> DataFrame:
+    """``df`` with one row of each group of near duplicates, the one with the smallest ``key``.
+
+    Alike are texts whose sets of ``verify``-word shingles have a Jaccard similarity of at least ``similarity`` (at least 0.8, for which the reach of the keys
+    is set); a group is what links of alike texts connect. Texts with equal sets (by a 128-bit hash) are one class. Classes whose wide fingerprints meet, see
+    :func:`wide_keys` and :func:`partners`, are candidates; sketches rule most of the others out, and the sets decide. In crowded buckets the rest of a row's
+    candidates comes in further rounds, without those that are in its group already, until all have been seen.
+    Texts without a word (null, empty) are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are one, whichever stays.
     """
+    if similarity < 0.8:
+        raise ValueError("the keys find texts with a similarity of 0.8 or more")
     df, names, to = shielded(df)
     key, text = to[key], to[text]
     rows = prepared(df, key, text)
-    texts = rows.select("_doc", "_turn", F.col(text).alias("_text"))
 
     def printed(batches):
-        for b in bpe.small(batches):
+        for b in bpe.small(batches, 128):
             texts = bpe.texts_of(b.column("_text"))
-            prints = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
             sets = [shingles(x, verify) for x in texts]
             same = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-            cols = [b.column("_doc"), b.column("_turn"), pa.array(same, pa.binary()), pa.array(prints), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["_doc", "_turn", "_same", "fingerprint", "_n", "_sketch"])
-
-    made = durable(texts.mapInArrow(printed, "_doc long, _turn int, _same binary, fingerprint long, _n int, _sketch binary"))
-    me = F.struct("_doc", "_turn")
-    firsts = made.groupBy("fingerprint", "_same").agg(F.min(F.struct("_doc", "_turn", "_n", "_sketch")).alias("_first"))  # of each set of shingles
-    texts_ = durable(firsts.select("fingerprint", "_same", "_first.*"))
-    equal = texts_.select(F.col("fingerprint").alias("_f"), F.col("_same").alias("_s"), F.col("_doc").alias("_hd"), F.col("_turn").alias("_ht"))
-    head = F.struct("_hd", "_ht")
-    copies = made.join(equal, (F.col("fingerprint") == F.col("_f")) & (F.col("_same") == F.col("_s"))).where(me != head)
-    least = texts_.groupBy(F.col("fingerprint").alias("_f")).agg(F.min(F.struct("_doc", "_turn", "_n")).alias("_first"))
-    least = least.select("_f", F.col("_first._doc").alias("_hd"), F.col("_first._turn").alias("_ht"), F.col("_first._n").alias("_m"))
-    others = texts_.join(least, F.col("fingerprint") == F.col("_f")).where(me != head)
-    others = others.where(F.abs(F.col("_n") - F.col("_m")) <= (1 - similarity) / (1 + similarity) * (F.col("_n") + F.col("_m")) + 1e-6)
-    names_ = [F.col("_doc").alias("_d"), F.col("_turn").alias("_t"), "_hd", "_ht"]
+            cols = [b.column("_doc"), b.column("_turn"), pa.array(same, pa.binary()), pa.array([wide_print(x) for x in texts], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_doc", "_turn", "same", "print", "n", "sketch"])
+
+    texts = rows.select("_doc", "_turn", F.col(text).alias("_text"))
+    made = durable(texts.mapInArrow(printed, "_doc long, _turn int, same binary, print binary, n int, sketch binary"))
+    made = made.withColumn("id", F.conv(F.hex(F.substring("same", 1, 8)), 16, -10).cast("long"))
+    firsts = made.groupBy("id", "same").agg(F.min(F.struct("_doc", "_turn", "print", "n", "sketch")).alias("first"))
+    classes = durable(firsts.select("id", "first.*"))
+    share = (1 - similarity) / (1 + similarity)
+
+    def ruled(batches):
+        """Pairs that the sketches of their sets allow to be alike."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sx", "sy"))
+            n = b.column("nx").to_numpy().astype(np.int64) + b.column("ny").to_numpy()
+            yield b.select(["x", "y"]).filter(pa.array(np.abs(u - v).sum(axis=1) <= share * n + 1e-6))
 
     def hashed(batches):
-        for b in bpe.small(batches):
-            sets = [shingles(x, verify).tobytes() for x in bpe.texts_of(b.column("_text"))]
-            yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_turn"), pa.array(sets, pa.binary())], names=["_sd", "_st", "_set"])
+        for b in bpe.small(batches, 128):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(x, verify).tobytes() for x in bpe.texts_of(b.column("_text"))], pa.binary())], names=["id", "set"])
 
     def compared(batches):
         for b in bpe.small(batches):
             near = []
-            for x, y in zip(b.column("_set").to_pylist(), b.column("_other").to_pylist(), strict=True):
-                if x == y:
-                    near.append(True)
-                    continue
+            for x, y in zip(b.column("set").to_pylist(), b.column("other").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 near.append(common >= similarity * (len(u) + len(v) - common))
-            yield b.select(["_d", "_t"]).filter(pa.array(near, pa.bool_()))
+            yield b.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """(_d, _t) of the ``pairs`` that are alike."""
-        involved = pairs.select("_d", "_t").union(pairs.select("_hd", "_ht")).distinct()
-        texts = rows.select("_doc", "_turn", F.col(text).alias("_text")).join(involved, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")))
-        sets = durable(texts.select("_doc", "_turn", "_text").mapInArrow(hashed, "_sd long, _st int, _set binary"))
-        mine = pairs.join(sets, (F.col("_d") == F.col("_sd")) & (F.col("_t") == F.col("_st"))).select("_d", "_t", "_hd", "_ht", "_set")
-        other = sets.select(F.col("_sd").alias("_od"), F.col("_st").alias("_ot"), F.col("_set").alias("_other"))
-        both = mine.join(other, (F.col("_hd") == F.col("_od")) & (F.col("_ht") == F.col("_ot"))).select("_d", "_t", "_set", "_other")
-        gone = durable(both.mapInArrow(compared, "_d long, _t int").distinct())
+        """The (x, y) of ``pairs`` that are alike."""
+        known = [classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "xy"]
+        likely = durable(pairs.join(known[0], "x").join(known[1], "y").mapInArrow(ruled, "x long, y long"))
+        involved = likely.select(F.col("x").alias("id")).union(likely.select("y")).distinct()
+        who = durable(classes.join(involved, "id").select("id", F.col("_doc").alias("_d"), F.col("_turn").alias("_t")))
+        held = _beside(texts, who, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t"))).select("id", "_text")
+        sets = durable(held.mapInArrow(hashed, "id long, set binary"))
+        both = likely.join(sets.withColumnRenamed("id", "x"), "x").join(sets.select(F.col("id").alias("y"), F.col("set").alias("other")), "y")
+        out = durable(both.select("x", "y", "set", "other").mapInArrow(compared, "x long, y long"))
         forget(sets)
-        return gone
+        return out
 
-    gone = durable(copies.select(*names_[:2])).unionByName(alike(durable(others.select(*names_))))
-    is_ = (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t"))
-    state = _open(texts_).join(gone.withColumn("_gone", F.lit(True)), is_, "left").withColumn("_open", F.col("_gone").isNull()).drop("_d", "_t", "_gone")
-    limit = 4
+    links_, state = None, classes
     while True:
-        found = durable(partners(state, most, similarity, limit))
-        if not found.limit(1).count():
+        found = durable(partners(state, limit, block))
+        new = alike(found)
+        links_ = new if links_ is None else links_.unionByName(new)
+        roots = components(links_, "x", "y")
+        asks = durable(found.where("more").groupBy(F.col("x").alias("_x")).agg(F.min("y").alias("_after")))
+        if not asks.limit(1).count():
             break
-        now = alike(found)
-        gone = gone.unionByName(now)
-        left = found.where("_more").groupBy("_d", "_t").agg(F.min(F.struct("_hd", "_ht")).alias("_to")).join(now, ["_d", "_t"], "left_anti")
-        left = durable(left.select("_d", "_t", F.col("_to._hd").alias("_cd"), F.col("_to._ht").alias("_ct")))
-        if not left.limit(1).count():
-            break
-        state = texts_.join(left, is_, "left").withColumn("_open", F.col("_d").isNotNull()).drop("_d", "_t")
         limit *= 8
+        state = classes.join(roots, F.col("id") == F.col("node"), "left").join(asks, F.col("id") == F.col("_x"), "left")
+        state = state.select("id", "print", "n", F.col("_x").isNotNull().cast("byte").alias("ask"), F.coalesce("component", "id").alias("label"), F.coalesce("_after", F.lit(0)).alias("after"))
+    led = made.select("_doc", "_turn", "id").join(roots, F.col("id") == F.col("node"), "left").select("_doc", "_turn", F.coalesce("component", "id").alias("_root"))
+    led = durable(led)
+    kept = led.groupBy("_root").agg(F.min(F.struct("_doc", "_turn")).alias("_kept")).select(F.col("_root").alias("_of"), "_kept")
+    gone = durable(led.join(kept, F.col("_root") == F.col("_of")).where(F.struct("_doc", "_turn") != F.col("_kept")).select(F.col("_doc").alias("_d"), F.col("_turn").alias("_t")))
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+    is_ = (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t"))
     return rows.join(gone, is_, "left_anti").select(*[F.col(to[c]).alias(c) for c in names])

@@ -152,20 +152,6 @@ def test_distinct_keeps_one_of_each_confirmed_group(spark):
     assert simhash.distinct(df.limit(0)).collect() == []
 
 
-def test_heads_are_smaller_rows_within_reach(spark):
-    prints = cluster_prints()
-    signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    classes = spark.createDataFrame([(x, i, 0) for i, x in enumerate(signed)], "fingerprint long, _doc long, _turn int")
-    got = simhash.heads(classes).collect()
-    at = {x: i for i, x in enumerate(signed)}
-    assert got and all(r.head._doc < at[r.fingerprint] and (prints[r.head._doc] ^ prints[at[r.fingerprint]]).bit_count() <= 3 for r in got)
-    # Of fingerprints with one partner, all find it: nobody stands before it under its key.
-    lone = [(i, [j for j in range(len(prints)) if j != i and (prints[i] ^ prints[j]).bit_count() <= 3]) for i in range(len(prints))]
-    for i, partners in lone:
-        if len(partners) == 1 and partners[0] < i and len(lone[partners[0]][1]) == 1:
-            assert any(r.fingerprint == signed[i] and r.head._doc == partners[0] for r in got)
-
-
 def test_exact_copies_go_whatever_else_they_resemble(spark):
     """Texts of the same words in other orders share a fingerprint of single words; each order's copies go, the orders stay."""
     random.seed(9)
@@ -178,20 +164,6 @@ def test_exact_copies_go_whatever_else_they_resemble(spark):
     assert sorted(r.doc_id for r in got) == list(range(0, 36, 3))
 
 
-def test_every_earlier_text_within_reach_is_a_partner(spark):
-    """Crowded buckets whose smallest row is out of reach, block by block or not; a limit only puts partners off."""
-    prints = cluster_prints()
-    signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    want = {(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3}
-    classes = spark.createDataFrame([(x, i, 0) for i, x in enumerate(signed)], "fingerprint long, _doc long, _turn int")
-    at = {x: i for i, x in enumerate(signed)}
-    assert {(at[r.fingerprint], r.head._doc) for r in simhash.heads(classes).collect()} == want
-    rows = simhash._open(classes.selectExpr("*", "0 _n", "X'00' _sketch"))
-    assert {(r._d, r._hd) for r in simhash.partners(rows, limit=1 << 30, block=16).collect()} == want
-    first = simhash.partners(rows, limit=2, block=16).collect()
-    assert {(r._d, r._hd) for r in first} < want and any(r._more for r in first)
-
-
 def test_near_copies_of_a_later_text_of_the_fingerprint_go(spark):
     """The same words in many orders share a fingerprint; a near copy of any of the orders goes, not only one of the smallest."""
     random.seed(10)
@@ -211,3 +183,78 @@ def test_sketches_never_rule_out_alike_sets():
         b = np.unique(np.concatenate((a[int(len(a) * rng.uniform(0, 0.2)) :], rng.integers(0, 1 << 62, int(n * rng.uniform(0, 0.1))).astype(np.uint64))))
         x, y = (np.frombuffer(simhash.sketch(s), np.uint8).astype(int) for s in (a, b))
         assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
+def jaccard(a, b):
+    x, y = set(simhash.shingles(a).tolist()), set(simhash.shingles(b).tolist())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def test_codewords_bridge_two_errors():
+    rng = np.random.default_rng(12)
+    words = rng.integers(0, 1 << 23, 3000).astype(np.int32)
+    for errors in (0, 1, 2):
+        flips = np.array([sum(1 << int(b) for b in rng.choice(23, errors, replace=False)) for _ in words], np.int32)
+        (a, n), (b, m) = simhash.fuzzy(words), simhash.fuzzy(words ^ flips)
+        assert all(set(x[:i].tolist()) & set(y[:j].tolist()) for x, i, y, j in zip(a, n, b, m, strict=True))
+
+
+def prints_of(n, seed, crowd):
+    """Rows (id, print, n): a crowd that differs in a few bits, pairs, and lone ones."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2, 128)
+    rows = []
+    for i in range(n):
+        v = base.copy() if i % 3 == 0 and crowd else rng.integers(0, 2, 128)
+        v[rng.choice(115, 4, replace=False)] ^= 1
+        rows.append(v)
+        if i % 5 == 0:
+            w = v.copy()
+            w[rng.choice(115, 9, replace=False)] ^= 1
+            rows.append(w)
+    ids = rng.permutation(len(rows)) * 7 - 300
+    packed = [np.packbits(np.append(v[:115], np.zeros(13, int))).tobytes() for v in rows]
+    return [(int(i), bytearray(p), 100) for i, p in zip(ids, packed, strict=True)]
+
+
+def test_partners_are_all_pairs_within_eleven_bits(spark):
+    rows = prints_of(300, 13, True)
+    df = spark.createDataFrame(rows, "id long, print binary, n int").repartition(3)
+    bits = {i: int.from_bytes(bytes(p), "big") for i, p, _ in rows}
+    near = {(a, b) for a in bits for b in bits if b < a and (bits[a] ^ bits[b]).bit_count() <= 11}
+    for block, held in ((1 << 14, 1 << 21), (80, 300)):  # the second sends crowded keys on block by block
+        got = {(r.x, r.y) for r in simhash.partners(df, 1 << 30, block, held).collect()}
+        assert near <= got and all(a > b for a, b in got)
+        first = simhash.partners(df, 2, block, held).collect()
+        assert {(r.x, r.y) for r in first} < got and any(r.more for r in first)
+
+
+def test_later_rounds_look_at_other_labels_only(spark):
+    rows = prints_of(300, 14, True)
+    ids = sorted(i for i, *_ in rows)
+    label = {i: min(ids) if i % 2 else i for i in ids}
+    df = spark.createDataFrame([(*r, 1, label[r[0]], -50) for r in rows], "id long, print binary, n int, ask byte, label long, after long")
+    got = {(r.x, r.y) for r in simhash.partners(df, 1 << 30).collect()}
+    assert got and all(label[a] != label[b] and b > -50 for a, b in got)
+
+
+def test_edited_copies_and_chains_leave_one(spark):
+    """Forty texts of which each has another one with a similarity of 0.8; a crowd beyond the limits of the first round."""
+    random.seed(15)
+    words = [f"w{random.randint(0, 10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(120):
+        t = list(words)
+        for at in random.sample(range(len(t)), 3):
+            t[at] = f"x{random.randint(0, 10**6)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(f"y{random.randint(0, 10**6)}" for _ in range(60)) for _ in range(20)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if v in (a, b) else v for v in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for limit, block in ((4, 1 << 14), (1, 70)):
+        assert sorted(r.doc_id for r in simhash.distinct(df, limit=limit, block=block).collect()) == sorted(set(label))
