@@ -11,7 +11,8 @@ one that accepts every sequence of base symbols, one state for each symbol that
 
 Copies are stored as references to what they copied, with the time of copying, and arcs are filled into a
 transition table when they are first used, so the automaton takes memory in proportion to the merges. The
-encoding of a word is the only path that spells it.
+encoding of a word is the only path that spells it. A second table, over symbols, tells which tokens end at a symbol;
+so a word is walked symbol by symbol, once.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ from tokenizers import Tokenizer
 
 from .common import only
 
-#: Distinct words whose encoding a worker keeps, in two generations: when the young one is full it becomes the old one.
-WORDS_KEPT = 1_000_000
+#: Distinct strings whose encoding a worker keeps, in two generations: when the young one is full it becomes the old one. Longer ones are not kept.
+WORDS_KEPT, LONGEST_KEPT = 150_000, 40
+ARCS_KEPT = 1 << 18  # transitions in a worker's table
+_LONG = 64  # symbols of words that are walked alone
 # The pre-splitting pattern of such files, for texts of Latin-1 characters in lower case, where it can be said without Unicode classes.
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _LATIN = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
 _PIECE = 1 << 16  # characters that the library is given at once
-_HEAD = 6  # symbols by which the arcs that may go on are looked up
 _END = "\0"  # marks the end of a word inside the automaton; byte-level symbols never hold it
 
 
@@ -55,19 +57,47 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class _Slots:
+    """A hash table of non-negative numbers in arrays, open addressing; holds half of ``room`` keys at most."""
+
+    def __init__(self, room: int):
+        self.bits = max(8, int(room - 1).bit_length())
+        self.keys, self.values, self.used = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; -1 for those that are not there."""
+        out, which, slot = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._slot(keys)
+        while len(which):
+            there = self.keys[slot]
+            hit = there == keys[which]
+            out[which[hit]] = self.values[slot[hit]]
+            on = ~hit & (there >= 0)
+            which, slot = which[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Puts in distinct keys that are not there yet."""
+        self.used += len(keys)
+        which, slot = np.arange(len(keys)), self._slot(keys)
+        while len(which):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[which[free]]  # of several in one place the last stays
+            won = free & (self.keys[slot] == keys[which])
+            self.values[slot[won]] = values[which[won]]
+            which, slot = which[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+
 class MergeAutomaton:
-    """The deterministic automaton of a merge list; ``encode`` walks it, ``labels`` has what its arcs emit."""
+    """The deterministic automaton of a merge list; ``encode_many`` and ``encode`` walk it, ``labels`` has what its arcs emit."""
 
     def __init__(self, vocab: dict[str, int], merges: list, end: str):
         inner = lambda s: s[: -len(end)] + _END if end and s.endswith(end) else s
         size = max(vocab.values(), default=-1) + 1
         self.ids = {inner(s): i for s, i in vocab.items()}
         self.end = _END if end else ""
-        self.far: dict[str, int] = {}  # length of the longest token of more than _HEAD symbols that starts so
-        for s in self.ids:
-            if len(s) > max(_HEAD, self.far.get(s[:_HEAD], 0)):
-                self.far[s[:_HEAD]] = len(s)
-        self.heads: dict[str, tuple] = {}  # tokens that start some symbols, longest first, as they are met
         self.labels: list[str | None] = [None] * size
         for s, i in vocab.items():
             self.labels[i] = s
@@ -75,11 +105,16 @@ class MergeAutomaton:
         self.copied_state, self.copied_label = array("i", [-1]) * size, array("i", [-1]) * size
         self.alive = bytearray([1]) * size
         self.closed: dict[int, int] = {}  # state << 32 | label: time at which a merge closed this arc
-        self.table: dict[int, bool] = {}  # transitions that were asked for
+        self.table = _Slots(2 * ARCS_KEPT)  # transitions that were asked for: state << 32 | label
         for time, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(time, self.ids[inner(a)], self.ids[inner(b)], self.ids[inner(a + b)])
         self.ids = {s: i for s, i in self.ids.items() if self.alive[i]}
+        self.longest: dict[str, int] = {}  # length of the longest token with these two last symbols
+        for s in self.ids:
+            if len(s) > self.longest.get(s[-2:], 0):
+                self.longest[s[-2:]] = len(s)
+        self._compile()
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if self.born[w] >= 0:
@@ -89,62 +124,136 @@ class MergeAutomaton:
         self.alive[w] = self.alive[u] and self.alive[v] and self._open(u, v, time)
         self.closed[u << 32 | v] = time
 
-    def arc(self, state: int, label: int) -> bool:
-        """Whether the finished automaton has this arc."""
-        key = state << 32 | label
-        if (known := self.table.get(key)) is not None:
-            return known
-        open_ = self._open(state, label, 1 << 62)
-        self.table[key] = open_
-        if len(self.table) > 400_000:
-            self.table.clear()
-        return open_
+    def _compile(self) -> None:
+        """The table of symbols: where each place of it goes on a symbol, the token that ends there, the next shorter one, and where to go on if nothing is there."""
+        goto: dict[int, int] = {}  # place << 16 | symbol
+        of, up, token, depth = [0], [0], [-1], [0]
+        for s, t in self.ids.items():
+            node = 0
+            for c in map(ord, s):
+                to = goto.get(node << 16 | c)
+                if to is None:
+                    to = goto[node << 16 | c] = len(up)
+                    up.append(node)
+                    of.append(c)
+                    token.append(-1)
+                    depth.append(depth[node] + 1)
+                node = to
+            token[node] = t
+        fail, term = [0] * len(up), [0] * len(up)
+        for node in sorted(range(1, len(up)), key=depth.__getitem__):
+            back, to = up[node], None
+            while back and to is None:
+                back = fail[back]
+                to = goto.get(back << 16 | of[node])
+            fail[node] = to or 0
+            term[node] = node if token[node] >= 0 else term[fail[node]]
+        self.depth, self.token, self.fail, self.term = (np.array(x, np.int32) for x in (depth, token, fail, term))
+        self.goto = _Slots(2 * len(goto) + 2)
+        self.goto.add(np.fromiter(goto, np.int64, len(goto)), np.fromiter(goto.values(), np.int32, len(goto)))
+
+    def _arcs(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Whether the finished automaton has each of these arcs, from the transition table; new ones are worked out and put into it."""
+        key = states.astype(np.int64) << 32 | labels
+        out = self.table.find(key)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            asked, at = np.unique(key[new], return_inverse=True)
+            open_ = np.array([self._open(k >> 32, k & 0xFFFFFFFF, 1 << 62) for k in asked.tolist()], np.int32)
+            out[new] = open_[at]
+            if self.table.used + len(asked) > ARCS_KEPT:
+                self.table = _Slots(2 * ARCS_KEPT)
+            if len(asked) <= ARCS_KEPT:
+                self.table.add(asked, open_)
+        return out > 0
+
+    def encode_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-split words of byte symbols, one after the other, and where each word's begin (and the last one's end).
+
+        All words are walked symbol by symbol together. Every beginning of a path is the path of what it spells, and there is one path only. So the
+        state after the first ``i`` symbols is the one token that ends there and that an arc leads to from the state where it starts; nothing is
+        ever taken back. An empty word has no ids.
+        """
+        n = len(words)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        lengths[lengths > 0] += len(self.end)
+        out, at = np.empty(0, np.int32), np.zeros(n + 1, np.int64)
+        if not lengths.any():
+            return out, at
+        order = np.argsort(-lengths, kind="stable")
+        size = lengths[order]
+        codes = np.frombuffer("".join([w + self.end for w in words if w]).encode("utf-16-le"), np.uint16).astype(np.int64)
+        first = (np.cumsum(lengths) - lengths)[order]
+        top = int(size[0])
+        states, starts = np.full((top + 1, n), -1, np.int32), np.zeros((top + 1, n), np.int32)
+        nodes = np.zeros(n, np.int64)
+        for i in range(1, top + 1):
+            live = int(np.searchsorted(-size, -i, side="right"))
+            c = codes[first[:live] + i - 1]
+            which, cur, to = np.arange(live), nodes[:live], np.zeros(live, np.int64)
+            while len(which):
+                v = self.goto.find(cur << 16 | c[which])
+                to[which[v >= 0]] = v[v >= 0]
+                on = (v < 0) & (cur > 0)
+                which, cur = which[on], self.fail[cur[on]].astype(np.int64)
+            nodes[:live] = to
+            which, e = np.arange(live), self.term[to]
+            while len(which):
+                which, e = which[e > 0], e[e > 0]
+                k, t = i - self.depth[e], self.token[e]
+                s = states[k, which]
+                good = k == 0
+                ask = np.flatnonzero(s >= 0)
+                good[ask] = self._arcs(s[ask], t[ask])
+                states[i, which[good]], starts[i, which[good]] = t[good], k[good]
+                which, e = which[~good], self.term[self.fail[e[~good]]]
+        col = np.arange(n)
+        if (bad := (size > 0) & (states[size, col] < 0)).any():
+            raise ValueError(f"no path spells {words[order[bad][0]]!r}")
+        found, pos = [], size
+        which = np.flatnonzero(pos > 0)
+        while len(which):
+            found.append((which, states[pos[which], which]))
+            pos = pos.copy()
+            pos[which] = starts[pos[which], which]
+            which = which[pos[which] > 0]
+        count = np.zeros(n, np.int64)
+        for which, _ in found:
+            count[order[which]] += 1
+        at[1:] = np.cumsum(count)
+        out = np.empty(int(at[-1]), np.int32)
+        for back, (which, t) in enumerate(found, 1):
+            out[at[order[which] + 1] - back] = t
+        return out, at
 
     def encode(self, word: str) -> list[int]:
-        """Ids of one pre-split word of byte symbols: the path of the automaton that spells it."""
-        text = word + self.end
-        if (whole := self.ids.get(text)) is not None:
-            return [whole]
-        n, ids, heads, far, table = len(text), self.ids, self.heads, self.far, self.table
+        """Ids of one pre-split word of byte symbols, by the same walk as :meth:`encode_many`: for words so long that few stand beside them."""
+        text = word + self.end if word else ""
+        n, ids, longest = len(text), self.ids, self.longest
+        states, starts = [-1] * (n + 1), [0] * (n + 1)
+        known: dict[tuple[int, int], bool] = {}
+        for i in range(1, n + 1):
+            for k in range(max(0, i - longest.get(text[max(0, i - 2) : i], 1)), i):
+                t = ids.get(text[k:i])
+                if t is None or k and states[k] < 0:
+                    continue
+                if k:
+                    arc = states[k], t
+                    if arc not in known:
+                        known[arc] = self._open(*arc, 1 << 62)
+                    if not known[arc]:
+                        continue
+                states[i], starts[i] = t, k
+                break
+        if n and states[n] < 0:
+            raise ValueError(f"no path spells {word[:80]!r}")
         path: list[int] = []
-        starts: list[int] = []
-        dead: set[tuple[int, int]] = set()  # places and tokens from which no path leads on
-        i, last, below = 0, -1, n + 1  # next place, state, and the length that the next token must be under
-        while i < n:
-            head = text[i : i + _HEAD]
-            options = heads.get(head)
-            if options is None:
-                options = self._options(head)
-            if head in far and below > _HEAD + 1:
-                top = min(n - i, far[head], below - 1)
-                options = [(m, t) for m in range(top, _HEAD, -1) if (t := ids.get(text[i : i + m])) is not None] + list(options)
-            for m, t in options:
-                if m < below and (not dead or (i + m, t) not in dead):
-                    if last < 0:
-                        break
-                    if (open_ := table.get(last << 32 | t)) is None:
-                        open_ = self.arc(last, t)
-                    if open_:
-                        break
-            else:
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                dead.add((i, path.pop()))
-                below = i - starts[-1]
-                i = starts.pop()
-                last = path[-1] if path else -1
-                continue
-            starts.append(i)
-            path.append(t)
-            i, last, below = i + m, t, n + 1
+        while n:
+            path.append(states[n])
+            n = starts[n]
+        path.reverse()
         return path
 
-    def _options(self, head: str) -> tuple:
-        if len(self.heads) > 200_000:
-            self.heads.clear()
-        found = self.heads[head] = tuple((m, t) for m in range(len(head), 0, -1) if (t := self.ids.get(head[:m])) is not None)
-        return found
-
     def _open(self, s: int, x: int, until: int) -> bool:
         """Whether the arc ``x`` of state ``s`` is there at a time, both having come before."""
         born = self.born
@@ -164,21 +273,34 @@ class MergeAutomaton:
                 until, x = bx, self.copied_label[x]
 
 
-class _Words(dict):
-    """Encoded words; a missing one is made by ``make``."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_KEPT // 2:
-            self.old = self.copy()
-            self.clear()
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.make(word)
-        self[word] = ids
-        return ids
+class _Kept:
+    """Encodings of strings, in two generations."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def take(self, strings: set[str], make) -> dict[str, bytes]:
+        """The encodings of some strings; those that are not kept are made by ``make`` (of a list), all at once."""
+        out, young, old = {}, self.young, self.old
+        missing = []
+        for x in strings:
+            ids = young.get(x)
+            if ids is None:
+                ids = old.get(x)
+                if ids is None:
+                    missing.append(x)
+                    continue
+                young[x] = ids
+            out[x] = ids
+        for at in range(0, len(missing), 1 << 14):
+            some = missing[at : at + (1 << 14)]
+            made = dict(zip(some, make(some), strict=True))
+            out |= made
+            young |= {x: ids for x, ids in made.items() if len(x) <= LONGEST_KEPT}
+        if len(young) >= WORDS_KEPT // 2:
+            self.young, self.old = {}, young
+        return out
 
 
 class Codec:
@@ -202,35 +324,46 @@ class Codec:
         for s, i in self.special.items():
             self.labels += [None] * (i + 1 - len(self.labels))
             self.labels[i] = s
-        self.words = _Words(self._word)
-        self.symbol_words = _Words(self._symbols)
+        self.lows, self.words = _Kept(), _Kept()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a lower-case Latin word."""
+    def _lows(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case Latin words."""
         table = self.symbols
-        return self._symbols(word if word.isascii() and word.isprintable() else "".join([table[b] for b in word.encode()]))
+        return self._words([w if w.isascii() and w.isprintable() else "".join([table[b] for b in w.encode()]) for w in words])
 
-    def _symbols(self, word: str) -> bytes:
-        """Ids of a word of byte symbols."""
-        return array("i", self.automaton.encode(word)).tobytes()
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of byte symbols."""
+        flat, at = self.automaton.encode_many([w if len(w) <= _LONG else "" for w in words])
+        raw, ends = flat.tobytes(), (4 * at).tolist()
+        return [raw[a:z] if len(w) <= _LONG else array("i", self.automaton.encode(w)).tobytes() for w, a, z in zip(words, ends, ends[1:], strict=False)]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as 32-bit integers of this machine's byte order."""
-        if self.cut and "<" in text and len(pieces := self.cut.split(text)) > 1:
-            return b"".join([array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in pieces])
-        return self._plain(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text as 32-bit integers of this machine's byte order."""
+        parts: list[list] = []  # of each text: ids, or lists of words and whether they are Latin
+        for text in texts:
+            if self.cut and "<" in text and len(pieces := self.cut.split(text)) > 1:
+                parts.append([array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in pieces])
+            else:
+                parts.append([self._plain(text)])
+        latin = self.lows.take(set().union(*[p[1] for ps in parts for p in ps if type(p) is tuple and p[0]]), self._lows)
+        other = self.words.take(set().union(*[p[1] for ps in parts for p in ps if type(p) is tuple and not p[0]]), self._words)
+        return [b"".join([p if type(p) is bytes else b"".join(map((latin if p[0] else other).__getitem__, p[1])) for p in ps]) for ps in parts]
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> tuple[bool, list[str]]:
+        """What a text without special tokens consists of: lower-case Latin words, or words of byte symbols."""
         if self.latin:
             try:
                 text.encode("latin-1")  # such a text is in form NFC, and the Unicode versions at hand agree about it
             except UnicodeEncodeError:
                 pass
             else:
-                return b"".join(map(self.words.__getitem__, _LATIN.findall(text.lower())))
+                return True, _LATIN.findall(text.lower())
         # White space parts words in any case, so the library may split a long text piece by piece.
-        known = self.symbol_words
-        return b"".join([known[w] for at in range(0, len(text), _PIECE) for w in self._split(text, at)])
+        return False, [w for at in range(0, len(text), _PIECE) for w in self._split(text, at)]
 
     def _split(self, text: str, at: int) -> list[str]:
         """Words of byte symbols of the blank-ended pieces that start in one stretch of a text."""
@@ -298,8 +431,8 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", keep:
 
     def run(batches):
         its = codec(path)
-        for b in small(batches, 128):
-            ids = ids_array([its.encode(x) for x in texts_of(b.column(text))])
+        for b in small(batches):
+            ids = ids_array(its.encode_all(texts_of(b.column(text))))
             out = [ids] if decoded is None else [ids, its.decode(ids)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], names=[*keep, *made])
 

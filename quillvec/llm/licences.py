@@ -45,7 +45,7 @@ _GOVERNS = rf"{NAMED}|/$"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+(?:-[\p{L}]+)*|\d+(?:\.\d+)*)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]++(?:-[\p{L}]++)*+|\d++(?:\.\d++)*+)"), F.lit(1))
 
 
 def units(text: Column, whole: Column) -> Column:

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from math import ceil, isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -223,8 +222,8 @@ def pieces(df: DataFrame, path: str, limit: int = 2048, key: str = "doc_id", tex
         its = bpe.codec(path)
         for b in bpe.small(batches):
             rows: list[tuple] = []
-            for d, x in zip(b.column(key), bpe.texts_of(b.column(text)), strict=True):
-                ids = np.frombuffer(its.encode(x), np.int32).astype("<i4", copy=False).tobytes() + end
+            for d, x in zip(b.column(key), its.encode_all(bpe.texts_of(b.column(text))), strict=True):
+                ids = np.frombuffer(x, np.int32).astype("<i4", copy=False).tobytes() + end
                 n = len(ids) // 4
                 rows += [(d, i, s, min(limit, n - s), ids[4 * s : 4 * (s + limit)]) for i, s in enumerate(range(0, n, limit))]
             cols = list(zip(*rows, strict=True)) or [()] * 5
@@ -258,13 +257,15 @@ def pack(df: DataFrame, order: list[str], limit: int = 2048, length: str = "leng
     sizes = sizes.select(F.col(length).alias("_length"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy(length, "_bucket").orderBy(*order)).cast("long") - 1
     ranked = dealt.withColumn("_number", number).join(sizes, (F.col(length) == F.col("_length")) & (F.col("_bucket") == F.col("_of")))
-    key = table["length"] << np.int64(44)
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(key + table["low"], (size.to_numpy(np.int64) << np.int64(44)) + rank.to_numpy(np.int64), side="right") - 1
-        copy, turn = np.divmod(rank.to_numpy(np.int64) - table["low"][at], table["times"][at])
-        return pd.DataFrame({"sequence_id": table["sequence"][at] + turn, "offset": table["offset"][at] + copy * table["length"][at]})
-
-    placed = ranked.withColumn("_place", place(F.col(length), F.col("_number") + F.col("_before")))
-    return placed.select(*back, "_place.sequence_id", "_place.offset")
+    # Each length's intervals as one row, broadcast: as many rows as there are lengths, and the intervals are bounded by the patterns.
+    runs: dict[int, list[tuple]] = {}
+    for x, *interval in zip(*(table[c].tolist() for c in ("length", "low", "times", "sequence", "offset")), strict=True):
+        runs.setdefault(x, []).append(tuple(interval))
+    known = df.sparkSession.createDataFrame([(x, [r[0] for r in rs], rs) for x, rs in runs.items()], "_of_length long, _lows array<long>, _runs array<struct<low:long,times:long,sequence:long,offset:long>>")
+    placed = ranked.withColumn("_rank", F.col("_number") + F.col("_before")).join(F.broadcast(known), F.col(length) == F.col("_of_length"))
+    # The last interval that starts at or before the rank.
+    run = F.get("_runs", F.size(F.filter("_lows", lambda low: low <= F.col("_rank"))) - 1)
+    placed = placed.withColumn("_run", run).withColumn("_past", F.col("_rank") - F.col("_run.low"))
+    sequence = F.col("_run.sequence") + F.col("_past") % F.col("_run.times")
+    offset = F.col("_run.offset") + F.floor(F.col("_past") / F.col("_run.times")).cast("long") * F.col(length)
+    return placed.select(*back, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))

@@ -4,10 +4,11 @@ Detected entities get a keyed replacement of their own type and format: the same
 entities different ones (distinctness).
 
 * Numbers (phones, cards, IPv4 addresses, social security numbers) pass a keyed Feistel permutation of the numbers of their length, so
-  distinctness holds by construction; a card's check digit stays right, or wrong by as much as it was.
+  distinctness holds by construction, whatever signs part the digits; a phone's country code stays, and so does the check digit of a card, right or wrong by as much as it was.
 * Emails, secrets, IBANs and names get keyed characters, letter for letter of the same case and script, digit for digit, or for names keyed
   syllables in the script and with the ending of the gender. Two of these could meet by chance, or meet an entity that occurs; a collision check
-  over the distinct entities finds such cases and gives all but one of them the next attempt, until none is left.
+  over the distinct entities finds such cases and gives all but one of them the next attempt, until none is left. From attempt ``LONGER`` on, each is
+  longer by a syllable or two letters than the one before, so there is room for any number of entities.
 
 Given names, surnames and their bearer's gender come from an honorific or from the lists below.
 """
@@ -42,7 +43,8 @@ _GIVEN = "(?:" + "|".join(FEMALE_NAMES + MALE_NAMES) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in order of precedence, with what matches them; the order of the alternatives decides where several match at one place.
 PATTERNS = {
-    "email": r"(?<![\w.%+\-\p{L}\p{N}])[\w.%+\-\p{L}\p{N}]++@[\w\-\p{L}\p{N}]+(?:\.[\w\-\p{L}\p{N}]+)*\.\p{L}{2,}",
+    # Groups repeat possessively: Java runs such loops without recursion, so texts may be as long as they like. A dot counts if a label follows.
+    "email": r"(?<![\w.%+\-\p{L}\p{N}])[\w.%+\-\p{L}\p{N}]++@(?:(?:[\w\-\p{L}\p{N}]++\.(?=[\w\-\p{L}\p{N}]))++\p{L}{2,}|[\w\-\p{L}\p{N}]++\.\p{L}{2,})",
     # What may stand before the value, and its length, are looked at before the word that announces it.
     "secret": r"(?<=[\"'=: ])(?=[A-Za-z0-9_/+.=-]{12})(?<=(?:token|secret|passwd|password|api_key|apikey|access_key|private_key)[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_/+.=-]++|(?<![\p{L}\p{N}])(?=[0-9a-fAgs])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -57,6 +59,9 @@ _ANY = "|".join(f"(?:{_CARD if kind == 'card' else p})" for kind, p in PATTERNS.
 # Substrings one of which every secret without a digit has or follows.
 SECRET_MARKS = ["token", "secret", "passw", "key", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
 NUMBERS = ("ipv4", "ssn", "phone", "card")
+# Country calling codes of one digit and of two; the others have three.
+CODES = r"^\+((?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\d{3})"
+LONGER = 4  # attempts at the original length
 
 
 def kind_of(e: Column) -> Column:
@@ -69,7 +74,8 @@ def kind_of(e: Column) -> Column:
 
 def norm_of(kind: Column, e: Column) -> Column:
     """What two mentions of one entity share."""
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(e, r"[^\p{L}\p{N}]", "")).when(kind.isin("email", "name"), F.lower(e)).otherwise(e)
+    bare = F.regexp_replace(e, r"[^\p{L}\p{N}+]", "")  # a phone's plus says that a country code follows
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), bare).when(kind.isin("email", "name"), F.lower(e)).otherwise(e)
 
 
 def _digest(key: str, *parts) -> Column:
@@ -124,14 +130,14 @@ def spelled(key: str, kind, seed: Column, shape: Column, hexed: Column) -> Colum
     """``shape`` with each letter or digit replaced by a keyed one of its own alphabet (``hexed``: lower-case letters up to f)."""
 
     def char(c: Column, i: Column, bits: Column) -> Column:
-        h = F.conv(F.substr(bits, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        h = F.conv(F.substr(F.get(bits, F.floor(i / 16).cast("int")), i % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
         out = c
         for row in reversed(ALPHABETS):
             n = F.when(hexed, 6).otherwise(26) if row[0] == "a" else F.lit(len(row))
             out = F.when(F.locate(row[0], F.lit(row)).isNotNull() & F.lit(row).contains(c), F.substr(F.lit(row), (F.pmod(h, n) + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
 
-    bits = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(shape) / 16).cast("int")), lambda j: _digest(key, kind, j, seed)), "")
+    bits = let(F.sha2(seed, 256), lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.length(shape) / 16).cast("int")), lambda j: _digest(key, kind, j, v)))
     return let(bits, lambda b: F.array_join(F.transform(F.split(shape, ""), lambda c, i: char(c, i, b)), ""))
 
 
@@ -150,7 +156,8 @@ def named(key: str, word: Column, gender: Column, attempt: Column) -> Column:
         syllables, endings = SYLLABLES[script]
         table = F.array(*map(F.lit, syllables))
         ending = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in endings.items() for x in pair]), gender), F.lit(""))
-        pick = lambda bits: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(table, F.pmod(F.conv(F.substr(bits, i * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(len(syllables)))))
+        last = F.least(3 + F.greatest(attempt - LONGER + 1, F.lit(0)), F.lit(15))
+        pick = lambda bits: F.transform(F.sequence(F.lit(0), last), lambda i: F.get(table, F.pmod(F.conv(F.substr(bits, i * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(len(syllables)))))
         return let(_digest(key, "name", gender, attempt, F.lower(word)), lambda b: F.concat(F.array_join(pick(b), ""), ending))
 
     low = F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
@@ -179,7 +186,8 @@ def person(key: str, e: Column, attempt: Column) -> Column:
 def surrogate(key: str, kind: Column, norm: Column, e: Column, attempt: Column) -> Column:
     """The replacement of the mention ``e``. ``attempt`` counts from 0; permuted numbers need no other."""
     digits = F.regexp_replace(e, r"\D", "")
-    code = F.regexp_extract(e, r"^\+(\d{1,3})(?=[ .-]|\()", 1)
+    code = F.regexp_extract(F.regexp_replace(e, r"[^\d+]", ""), CODES, 1)
+    extra = F.substr(F.lit("a" * 40), F.lit(1), F.least(2 * F.greatest(attempt - LONGER + 1, F.lit(0)), F.lit(40)))  # what is appended before it is spelled
     phone = formatted(e, F.concat(code, permuted(key, F.concat(F.lit("phone"), code), F.substr(digits, F.length(code) + 1))))
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
     card = let(permuted(key, "card", body), lambda d: F.concat(d, F.pmod(luhn(d) + F.substr(digits, F.length(digits)).cast("int") - luhn(body), F.lit(10)).cast("string")))
@@ -193,13 +201,13 @@ def surrogate(key: str, kind: Column, norm: Column, e: Column, attempt: Column)
     iban = formatted(e, checked_iban(F.concat(F.substr(bare, F.lit(1), F.lit(4)), spelled(key, "iban", F.concat_ws("/", norm, attempt.cast("string")), F.substr(bare, F.lit(5)), F.lit(False)))))
     hexed = e.rlike("^[0-9a-f]+$")
     prefix = F.regexp_extract(e, r"^(AKIA|gh[pousr]_|sk-)", 1)
-    secret = F.concat(prefix, spelled(key, "secret", F.concat_ws("/", norm, attempt.cast("string")), F.substr(e, F.length(prefix) + 1), hexed))
+    secret = F.concat(prefix, spelled(key, "secret", F.concat_ws("/", norm, attempt.cast("string")), F.concat(F.substr(e, F.length(prefix) + 1), extra), hexed))
     at = F.instr(e, "@")
     host = F.substr(e, at + 1)
     top = F.regexp_extract(host, r"\.\p{L}+$", 0)
     label = F.substr(host, F.lit(1), F.length(host) - F.length(top))
     email = F.concat(
-        spelled(key, "local", F.concat_ws("/", norm, attempt.cast("string")), F.substr(e, F.lit(1), at - 1), F.lit(False)),
+        spelled(key, "local", F.concat_ws("/", norm, attempt.cast("string")), F.concat(F.substr(e, F.lit(1), at - 1), extra), F.lit(False)),
         F.lit("@"), spelled(key, "host", F.lower(label), label, F.lit(False)), top,
     )
     return (
@@ -238,14 +246,15 @@ def mentions(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(kind.alias("kind"), "mention", "n").withColumn("norm", norm_of(F.col("kind"), F.col("mention")))
 
 
-def collisions(found: DataFrame, key: str, rounds: int = 12) -> DataFrame:
+def collisions(found: DataFrame, key: str) -> DataFrame:
     """Entities (kind, norm, attempt) whose first surrogate is taken: by another entity, or by an entity that occurs.
 
-    Rounds run over the distinct entities only; in each, the smallest of those that share a surrogate keeps it and the others go on.
+    Rounds run over the distinct entities only; in each, the one of the fewest attempts, then the smallest, of those that share a surrogate keeps it and
+    the others go on. Surrogates grow from attempt ``LONGER`` on, so a round comes in which none collide.
     """
     now = durable(found.where(~F.col("kind").isin(*NUMBERS)).groupBy("kind", "norm").agg(F.min("mention").alias("mention")).withColumn("attempt", F.lit(0)))
     occurs = now.select(F.col("kind").alias("_kind"), F.col("norm").alias("_norm")).union(found.where("kind = 'name'").select("kind", F.lower("mention")))
-    for _ in range(rounds):
+    while True:
         made = durable(now.withColumn("s", F.lower(surrogate(key, F.col("kind"), F.col("norm"), F.col("mention"), F.col("attempt")))))
         first = made.groupBy(F.col("kind").alias("_kind"), F.col("s").alias("_s")).agg(F.min(F.struct("attempt", "norm")).alias("_w"), F.count("*").alias("_n")).where("_n > 1")
         again = made.join(first, (F.col("kind") == F.col("_kind")) & (F.col("s") == F.col("_s"))).where(F.struct("attempt", "norm") != F.col("_w")).select("kind", "norm")
@@ -255,8 +264,6 @@ def collisions(found: DataFrame, key: str, rounds: int = 12) -> DataFrame:
             break
         hit = F.col("_norm").isNotNull()
         now = durable(now.join(lost, (F.col("kind") == F.col("_kind")) & (F.col("norm") == F.col("_norm")), "left").select("kind", "norm", "mention", (F.col("attempt") + hit.cast("int")).alias("attempt")))
-    else:
-        raise RuntimeError(f"surrogates still collide after {rounds} rounds")
     return now.where("attempt > 0").select("kind", "norm", "attempt")
 
 

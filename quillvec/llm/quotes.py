@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, only
 
-PREFIX = r"^[ \t]{0,3}(?:>[ \t]?)+"
+PREFIX = r"^[ \t]{0,3}(?:>[ \t]?+)++"  # possessive: Java runs such loops without recursion
 #: A line that only announces a quotation; it goes with the quotation below it.
 ANNOUNCES = r"(?i)^\s*(?:(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|a écrit|escribió)|.{1,100}\b(?:wrote|schrieb|a écrit|escribió))\s*:\s*$|^\s*-{2,}\s*(?:original message|forwarded message).*$"
 
@@ -56,7 +56,7 @@ def without_quotes(rows: Column) -> Column:
     after = lambda i: F.get(F.filter(F.slice(rows, i + 2, F.lit(2)), lambda x: F.trim(x["body"]) != ""), F.lit(0))
     own = F.filter(rows, lambda x, i: (x["level"] == 0) & ~(x["announces"] & (F.coalesce(after(i)["level"], F.lit(0)) > 0)))
     joined = F.array_join(F.transform(own, lambda x: x["body"]), "\n")
-    return F.regexp_replace(F.regexp_replace(joined, r"\n\s*\n(\s*\n)+", "\n\n"), r"^\s*\n|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(joined, r"\n(?:[^\S\n]*+\n){2,}+", "\n\n"), r"^\s*\n|\s+$", "")
 
 
 def thread(df: DataFrame, rounds: int = 40) -> DataFrame:

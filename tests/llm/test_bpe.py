@@ -50,8 +50,18 @@ def test_pieces_of_long_texts(both, monkeypatch):
 
 def test_full_stores_change_nothing(both, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 4)
+    monkeypatch.setattr(bpe, "ARCS_KEPT", 4)
+    monkeypatch.setattr(bpe, "_LONG", 5)
     fresh = bpe.Codec(PATH), both[1]
-    same(fresh, "the cat sat on the mat and the other cat sat on the other mat " * 3)
+    for _ in range(3):
+        same(fresh, "the cat sat on the mat and the other cat sat on the other mat " * 3 + "日本語 antidisestablishmentarianism")
+
+
+def test_texts_of_a_batch(both):
+    random.seed(5)
+    texts = ["".join(random.choice("abc est日é'1 \t!<|") for _ in range(random.randint(0, 40))) for _ in range(200)] + ["", "x<|endoftext|>y", "x" * 300]
+    got = both[0].encode_all(texts)
+    assert [list(array.array("i", g)) for g in got] == [both[1].encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_automaton_against_plain_merging():
@@ -79,6 +89,8 @@ def test_automaton_against_plain_merging():
                         i += 1
                 parts = out
             assert its.encode(word) == [vocab[p] for p in parts], (merges, word)
+            many, at = its.encode_many(["a", word, "", word])
+            assert many.tolist() == [vocab["a"]] + 2 * [vocab[p] for p in parts] and at.tolist() == [0, 1, 1 + len(parts), 1 + len(parts), 1 + 2 * len(parts)]
 
 
 def test_bad_ids_decode_to_nothing(both):

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from quillvec.llm import packing, passages, simhash, suffixes
+from quillvec.llm import licences, packing, passages, pii, quotes, simhash, suffixes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,3 +28,17 @@ def test_long_text(spark):
     assert rest[1] == (len(text), len(text)) and rest[4] == (len(text), 0) and rest[3][1] == 0 and rest[2] == (5, 5)
     pieces = [r.length for r in packing.pieces(df, PATH, 2048).collect() if r.doc_id == 1]
     assert sum(pieces) == len(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids) + 1 and max(pieces) == 2048
+
+
+def test_long_runs_of_short_patterns(spark):
+    """Texts of which a regular expression with a repeated group would recurse too deep."""
+    n = 100_000
+    runs = ["x@" + "a." * n + "com", "licence " + "a-" * n, "> " * n + "x", ">" * n, "licence " + "1." * n, "+1" + " 11" * n, "\n" * n, " \n\n" * n + "y", "Mr " + "A-" * n, "1" * n, "token=" + "a1" * n, "DE12" + " ABCD" * n, "on " + "a " * n + "wrote:", "(((" * n, "9." * n]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string").repartition(4)
+    made = {r.doc_id: r for r in pii.replace(docs, "k").collect()}
+    assert len(made) == len(runs) and [p.kind for p in made[0].pii] == ["email"] and len(made[0].text) == len(runs[0]) and made[10].text != runs[10]
+    files = docs.selectExpr("concat('a/b', doc_id, '/LICENSE') AS path", "text", "doc_id")
+    assert licences.scan(files, keep=["doc_id"]).count() == len(runs)
+    talk = quotes.thread(docs.selectExpr("doc_id AS conv_id", "0L AS turn", "'user' AS role", "text"))
+    texts = {r.conv_id: r.text for r in talk.collect()}
+    assert texts[2] == texts[3] == "" and texts[1] == runs[1] and texts[6] == runs[6]

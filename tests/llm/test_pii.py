@@ -121,3 +121,57 @@ def test_empty_long_and_repeated(spark):
     got = pii.replace(df, KEY).collect()
     assert len({r.text for r in got}) == 2 and not any("x@y.org" in r.text for r in got)
     assert pii.replace(df.limit(0), KEY).collect() == []
+
+
+def replaced(spark, texts, key=KEY):
+    made = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), key).orderBy("doc_id").collect()
+    return [r.text for r in made], [[p.surrogate for p in r.pii] for r in made]
+
+
+def test_short_forms_that_run_out_grow(spark):
+    """All one-letter addresses of a host, and values without a letter or digit: no form of their length is free."""
+    texts = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["token: ------------", "token: ____________", "+@example.com"]
+    got, each = replaced(spark, texts)
+    flat = [s for e in each for s in e]
+    assert len(flat) == len(set(flat)) == len(texts) and not set(flat) & {t.removeprefix("token: ") for t in texts}
+    assert all(re.fullmatch(r"[a-z]+@[a-z]{7}\.com", s) for s in got[:26])
+
+
+def test_many_names_of_one_script_stay_distinct(spark):
+    letters = "абвгдежзик"
+    names = ["Dr " + "".join(letters[int(d)] for d in f"{i:05d}").capitalize() for i in range(20_000)]
+    _, each = replaced(spark, ["; ".join(names[at : at + 100]) for at in range(0, len(names), 100)])
+    flat = [s for e in each for s in e]
+    assert len(flat) == len(names) == len(set(flat)) and not set(flat) & set(names)
+
+
+def test_numbers_are_one_entity_in_all_formats(spark):
+    texts = ["+14155550123", "+1 415 555 0123", "+1 (415) 555-0123", "4155550123 no", "415-555-0123", "(415) 555-0123", "+44 20 7946 0958", "+442079460958", "+442 079 460 958"]
+    got, each = replaced(spark, texts)
+    digits = [re.sub(r"[^\d+]", "", e[0]) if e else None for e in each]
+    assert digits[0] == digits[1] == digits[2] != "+14155550123" and digits[0].startswith("+1") and digits[3] is None
+    assert digits[4] == digits[5] and digits[6] == digits[7] == digits[8] and digits[6].startswith("+44")
+
+
+def test_properties_of_all_entities(spark):
+    """Over random mentions: equal entities get equal surrogates, different ones different; shapes stay."""
+    import random
+
+    random.seed(3)
+    word = lambda n: "".join(random.choice("abcdefghij") for _ in range(n))
+    made = {
+        "email": lambda: f"{word(random.randint(1, 3))}@{word(2)}.com", "ssn": lambda: f"{random.randint(100, 109)}-{random.randint(10, 12)}-{random.randint(1000, 1009)}",
+        "ipv4": lambda: ".".join(str(random.randint(0, 9)) for _ in range(4)), "card": lambda: "".join(random.choice("01") for _ in range(16)),
+        "phone": lambda: f"+1 {random.randint(200, 203)} {random.randint(200, 203)} {random.randint(1000, 1003)}", "name": lambda: "Dr " + word(2).capitalize(),
+    }
+    mentions = [(kind, f()) for kind, f in made.items() for _ in range(150)]
+    random.shuffle(mentions)
+    _, each = replaced(spark, [f"see {e}" for _, e in mentions])
+    to: dict = {}
+    for (kind, e), s in zip(mentions, each, strict=True):
+        assert len(s) == 1
+        assert to.setdefault((kind, e.lower()), s[0].lower()) == s[0].lower()
+        assert re.sub(r"\d", "0", s[0]) == re.sub(r"\d", "0", e) or kind in ("email", "name", "ipv4")
+    for kind in made:
+        ours = [v for (k, _), v in to.items() if k == kind]
+        assert len(ours) == len(set(ours)), kind
