@@ -17,8 +17,10 @@ so a word is walked symbol by symbol, once.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -315,7 +317,7 @@ class Codec:
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.latin = steps == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == _SPLIT
         self.automaton = MergeAutomaton(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        library = Tokenizer.from_file(path)
+        library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": [], "unk_token": None}, "added_tokens": [], "post_processor": None}))  # without the tables
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.symbols = byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -405,10 +407,13 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded size, so that texts are not all held as Python strings at once."""
+    """The same rows in batches of bounded size, so that texts are not all held as Python strings at once. Free memory goes back to the machine at the end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # workers live on between tasks
 
 
 def ids_array(parts: list[bytes]) -> pa.Array:

@@ -27,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most ``rows`` rows from now on: texts may be long, and a batch is held by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

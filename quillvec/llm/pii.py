@@ -129,16 +129,16 @@ def formatted(shape: Column, chars: Column) -> Column:
 def spelled(key: str, kind, seed: Column, shape: Column, hexed: Column) -> Column:
     """``shape`` with each letter or digit replaced by a keyed one of its own alphabet (``hexed``: lower-case letters up to f)."""
 
-    def char(c: Column, i: Column, bits: Column) -> Column:
-        h = F.conv(F.substr(F.get(bits, F.floor(i / 16).cast("int")), i % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    def char(c: Column, i: Column, once: Column) -> Column:
+        h = F.conv(F.substr(F.get(once["bits"], F.floor(i / 16).cast("int")), i % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
         out = c
         for row in reversed(ALPHABETS):
-            n = F.when(hexed, 6).otherwise(26) if row[0] == "a" else F.lit(len(row))
+            n = F.when(once["hexed"], 6).otherwise(26) if row[0] == "a" else F.lit(len(row))
             out = F.when(F.locate(row[0], F.lit(row)).isNotNull() & F.lit(row).contains(c), F.substr(F.lit(row), (F.pmod(h, n) + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
 
     bits = let(F.sha2(seed, 256), lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.length(shape) / 16).cast("int")), lambda j: _digest(key, kind, j, v)))
-    return let(bits, lambda b: F.array_join(F.transform(F.split(shape, ""), lambda c, i: char(c, i, b)), ""))
+    return let(F.struct(bits.alias("bits"), hexed.alias("hexed")), lambda once: F.array_join(F.transform(F.split(shape, ""), lambda c, i: char(c, i, once)), ""))
 
 
 def checked_iban(body: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, licences, nearest, packing, passages, pii, quality, quotes, simhash, suffixes
-from .common import durable
+from .common import durable, small_batches
 
 #: The key of the surrogates in these queries; a deployment has its own secret.
 KEY = "quillvec example key"
@@ -22,6 +22,7 @@ def vocabulary() -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; dealt out anew if its files would keep half of the cores idle, as one small file does."""
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
