@@ -59,6 +59,15 @@ def forget_paths(spark: SparkSession, paths: list[str]) -> None:
             written.remove(p)
 
 
+#: Rows (of a few numbers each) up to which a table is broadcast.
+FEW = 200_000
+
+
+def few(df: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join with ``other``, a written table of a few numbers a row, which is broadcast if it has at most ``FEW`` rows; those are counted."""
+    return df.join(F.broadcast(other) if other.count() <= FEW else other, on, how)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The columns of exactly these names, whatever else ``df`` holds, also names that differ in case only."""
     have = df.columns

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import components, durable, forget, only, partitions, prepared, shielded
+from .common import components, durable, few, forget, only, partitions, prepared, shielded
 
 BITS = 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width; short ones are padded with zero bits
@@ -279,7 +279,6 @@ CROWD = 64  # rows up to which a bucket's pairs are all looked at
 #: Sizes of sets, in sixteenths of a doubling: two sets with a similarity of 0.8 are within 6 of them.
 STEPS, APART = 16, 6
 SKETCH = 128  # counts of a sketch
-FEW = 200_000  # rows (of three numbers) up to which a table is broadcast
 _ROW = np.dtype([("key", "<u4"), ("id", "<i8"), ("rest", "<u8"), ("size", "u1")])
 _LATER = np.dtype([*_ROW.descr, ("ask", "u1"), ("label", "<i8"), ("after", "<i8")])
 
@@ -497,11 +496,6 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def _beside(df: DataFrame, other: DataFrame, on) -> DataFrame:
-    """A join with ``other``, broadcast if it has at most ``FEW`` rows; those are counted."""
-    return df.join(F.broadcast(other) if other.count() <= FEW else other, on)
-
-
 def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int = 5, similarity: float = 0.8, limit: int = 4, block: int = 1 << 14) -> DataFrame:
     """``df`` with one row of each group of near duplicates, the one with the smallest ``key``.
 
@@ -560,7 +554,7 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int
         likely = durable(pairs.join(known[0], "x").join(known[1], "y").mapInArrow(ruled, "x long, y long"))
         involved = likely.select(F.col("x").alias("id")).union(likely.select("y")).distinct()
         who = durable(classes.join(involved, "id").select("id", F.col("_doc").alias("_d"), F.col("_turn").alias("_t")))
-        held = _beside(texts, who, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t"))).select("id", "_text")
+        held = few(texts, who, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t"))).select("id", "_text")
         sets = durable(held.mapInArrow(hashed, "id long, set binary"))
         both = likely.join(sets.withColumnRenamed("id", "x"), "x").join(sets.select(F.col("id").alias("y"), F.col("set").alias("other")), "y")
         out = durable(both.select("x", "y", "set", "other").mapInArrow(compared, "x long, y long"))
@@ -583,7 +577,5 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int
     led = durable(led)
     kept = led.groupBy("_root").agg(F.min(F.struct("_doc", "_turn")).alias("_kept")).select(F.col("_root").alias("_of"), "_kept")
     gone = durable(led.join(kept, F.col("_root") == F.col("_of")).where(F.struct("_doc", "_turn") != F.col("_kept")).select(F.col("_doc").alias("_d"), F.col("_turn").alias("_t")))
-    if gone.count() <= FEW:
-        gone = F.broadcast(gone)
     is_ = (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t"))
-    return rows.join(gone, is_, "left_anti").select(*[F.col(to[c]).alias(c) for c in names])
+    return few(rows, gone, is_, "left_anti").select(*[F.col(to[c]).alias(c) for c in names])
