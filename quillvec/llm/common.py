@@ -34,6 +34,12 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(name, rows)
 
 
+def lean(spark: SparkSession) -> None:
+    """Executors collect their garbage and hand back memory that only the work so far has needed; a task for each core."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import components, durable, few, forget, only, partitions, prepared, shielded
+from .common import FEW, components, durable, few, forget, only, partitions, prepared, shielded
 
 BITS = 64
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width; short ones are padded with zero bits
@@ -378,12 +378,12 @@ def crowded(ask: np.ndarray, tell: np.ndarray, limit: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int = 1 << 21) -> DataFrame:
-    """(x, y, more): ids of rows of ``rows`` whose wide fingerprints meet under a key and are within reach, y the smaller id.
+def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int = 1 << 21, only_keys: np.ndarray | None = None) -> DataFrame:
+    """(x, y, more, keys): ids of rows of ``rows`` whose wide fingerprints meet under a key and are within reach, y the smaller id.
 
     ``rows`` has id (no two alike), print and n (the size of the set). All pairs of a bucket of up to ``CROWD`` rows come; a row of a larger one gets its
-    ``limit`` first partners there, the last marked with more if there are others. If ``rows`` also has ask, label and after, only these are
-    looked for: partners in larger buckets of the rows that ask, with another label, and an id beyond ``after``.
+    ``limit`` first partners there, the last marked with more if there are others, and keys lists the keys of such buckets. If ``rows`` also has ask, label and after, only these are
+    looked for: partners in larger buckets of the rows that ask, with another label, and an id beyond ``after``; ``only_keys`` are the sorted keys to look at, all if None.
 
     Each task of the first step sends what belongs to one stretch of keys as one packed row. A task of the second holds a stretch, about ``held`` rows of it at
     most: rows of a key with more than ``block`` are passed on and compared block by block, each pair of blocks in a task of its own.
@@ -402,6 +402,9 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
             sizes = np.round(np.log2(np.maximum(n, 1)) * STEPS).clip(0, 255).astype(np.uint8)
             made = []
             for key, at, rest in wide_keys(prints):
+                if only_keys is not None:
+                    known = only_keys[np.minimum(np.searchsorted(only_keys, key), len(only_keys) - 1)] == key
+                    key, at, rest = key[known], at[known], rest[known]
                 r = np.empty(len(key), kind)
                 r["key"], r["id"], r["rest"], r["size"] = key, ids[at], rest, sizes[at]
                 if later:
@@ -409,6 +412,8 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
                         r[c] = b.column(c).to_numpy(zero_copy_only=False)[at]
                 made.append(r)
             r = np.concatenate(made)
+            if not len(r):
+                continue
             stretch = ((r["key"] * np.uint32(2654435761)).astype(np.uint64) * np.uint64(stretches) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(stretch, kind="stable")
             r, stretch = r[order], stretch[order]
@@ -417,10 +422,13 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
             packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(r.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(stretch[first]), packed], names=["stretch", "packed"])
 
-    def batch(x, y, more, big=None):
+    def batch(x, y, more, key=None, big=None):
         n = len(x) if big is None else len(big)
         none = pa.nulls(n, pa.int64())
-        cols = [none, none, pa.nulls(n, pa.bool_()), pa.array(big["key"].astype(np.int64)), pa.array([v.tobytes() for v in big], pa.binary())] if big is not None else [pa.array(x), pa.array(y), pa.array(more), none, pa.nulls(n, pa.binary())]
+        if big is not None:
+            cols = [none, none, pa.nulls(n, pa.bool_()), pa.array(big["key"].astype(np.int64)), pa.array([v.tobytes() for v in big], pa.binary())]
+        else:
+            cols = [pa.array(x), pa.array(y), pa.array(more), none if key is None else pa.array(np.full(n, key, np.int64), mask=~more), pa.nulls(n, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["x", "y", "more", "key", "row"])
 
     def looked(r, large):
@@ -436,9 +444,9 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
             if later and (not s["ask"].any() or (s["label"] == s["label"][0]).all()):
                 continue
             if len(s) > block:
-                yield batch(None, None, None, s)
+                yield batch(None, None, None, None, s)
             else:
-                yield batch(*crowded(s[s["ask"] > 0] if later else s, s, limit))
+                yield batch(*crowded(s[s["ask"] > 0] if later else s, s, limit), int(s["key"][0]))
 
     def scan(batches):
         at, parts, n, room, large = None, [], 0, held, np.empty(0, np.uint32)
@@ -451,7 +459,7 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
                 r = np.frombuffer(packed.as_buffer(), kind)
                 if len(large):
                     known = np.isin(r["key"], large)
-                    yield batch(None, None, None, r[known])
+                    yield batch(None, None, None, None, r[known])
                     r = r[~known]
                 parts.append(r)
                 n += len(r)
@@ -460,7 +468,7 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
                     keys_, counts = np.unique(r["key"], return_counts=True)
                     large = np.union1d(large, keys_[counts > block])
                     known = np.isin(r["key"], large)
-                    yield batch(None, None, None, r[known])
+                    yield batch(None, None, None, None, r[known])
                     parts = [r[~known]]
                     n = len(parts[0])
                     room = max(held, 2 * n)
@@ -470,8 +478,8 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
     columns = ["id", "print", "n", *(["ask", "label", "after"] if later else [])]
     sent = rows.select(*columns).mapInArrow(emit, "stretch int, packed binary").repartition(tasks, "stretch").sortWithinPartitions("stretch")
     found = durable(sent.mapInArrow(scan, "x long, y long, more boolean, key long, row binary"))
-    pairs = found.where("key IS NULL").select("x", "y", "more")
-    big = found.where("key IS NOT NULL").select("key", "row")
+    pairs = found.where("row IS NULL").select("x", "y", "more", "key")
+    big = found.where("row IS NOT NULL").select("key", "row")
     if big.limit(1).count():
         sizes = big.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
         mine = F.pmod(F.xxhash64("row"), F.col("n")).cast("int")
@@ -485,10 +493,11 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
             r = np.frombuffer(b"".join(table.column("row").to_pylist()), kind)
             a, t = (x[np.argsort(x["id"])] for x in (r[asks], r[~asks]))
             x, y, more = crowded(a[a["ask"] > 0] if later else a, t, limit)
-            return pa.table({"x": x, "y": y, "more": more})
+            key = table.column("key").to_numpy()[:1].repeat(len(x))
+            return pa.table({"x": x, "y": y, "more": more, "key": pa.array(key, pa.int64(), mask=~more)})
 
-        pairs = pairs.unionByName(asking.unionByName(telling).groupBy("key", "i", "j").applyInArrow(compare, "x long, y long, more boolean"))
-    return pairs.groupBy("x", "y").agg(F.max("more").alias("more"))
+        pairs = pairs.unionByName(asking.unionByName(telling).groupBy("key", "i", "j").applyInArrow(compare, "x long, y long, more boolean, key long"))
+    return pairs.groupBy("x", "y").agg(F.max("more").alias("more"), F.collect_set("key").alias("keys"))
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -561,9 +570,9 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int
         forget(sets)
         return out
 
-    links_, state = None, classes
+    links_, state, keys_ = None, classes, None
     while True:
-        found = durable(partners(state, limit, block))
+        found = durable(partners(state, limit, block, only_keys=keys_))
         new = alike(found)
         links_ = new if links_ is None else links_.unionByName(new)
         roots = components(links_, "x", "y")
@@ -571,6 +580,10 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int
         if not asks.limit(1).count():
             break
         limit *= 8
+        # The keys that matter go along as one array if they are few; else all rows are sent again.
+        crowds = found.where("more").select(F.explode("keys").alias("key")).distinct().limit(FEW + 1)
+        keys_ = np.array(sorted(r.key for r in crowds.collect()), np.uint32)  # FEW + 1 numbers at most
+        keys_ = None if len(keys_) > FEW else keys_
         state = classes.join(roots, F.col("id") == F.col("node"), "left").join(asks, F.col("id") == F.col("_x"), "left")
         state = state.select("id", "print", "n", F.col("_x").isNotNull().cast("byte").alias("ask"), F.coalesce("component", "id").alias("label"), F.coalesce("_after", F.lit(0)).alias("after"))
     led = made.select("_doc", "_turn", "id").join(roots, F.col("id") == F.col("node"), "left").select("_doc", "_turn", F.coalesce("component", "id").alias("_root"))
