@@ -63,19 +63,31 @@ def step(df: DataFrame, centroids: list[list[float]], vector: str = "vector") ->
 def seeds(df: DataFrame, k: int = CLUSTERS, key: str = "id", vector: str = "vector", seed: int | None = None) -> list[list[float]]:
     """The first ``k`` different non-zero vectors by id, or by a hash of the id with ``seed``; normalised."""
     order = F.col(key) if seed is None else F.xxhash64(key, F.lit(seed))
-    first = df.select(l2_normalize(vector).alias("_v"), order.alias("_o")).where(F.exists("_v", lambda x: x != 0))
-    return [list(r[0]) for r in first.groupBy("_v").agg(F.min("_o").alias("_o")).orderBy("_o").limit(k).collect()]
+    rows = df.select(vector, order.alias("_o")).where(F.exists(vector, lambda x: x != 0)).orderBy("_o", vector)
+    n, found = max(16, 4 * k), {}
+    while True:  # the smallest ids, more and more of them until there are enough different vectors
+        some = rows.limit(n).select(l2_normalize(vector)).collect()
+        found = dict.fromkeys(tuple(r[0]) for r in some)
+        if len(found) >= k or len(some) < n:
+            return [list(v) for v in found][:k]
+        n *= 8
 
 
-def fit(df: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, key: str = "id", vector: str = "vector", seed: int | None = None, compat: str = "intended") -> list[list[float]]:
+def fit(df: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, key: str = "id", vector: str = "vector", seed: int | None = None, compat: str = "intended", normalized: bool = False) -> list[list[float]]:
     """Centroids after (assign, update) as often as ``iterations`` says. Each round is one pass and one small shuffle; its only state is the centroids.
 
-    ``compat="legacy"`` gives zero centroids, as a clustering without a last update leaves them: every search then sees cluster 0.
+    ``compat="legacy"`` gives zero centroids, as a clustering without a last update leaves them: every search then sees cluster 0. ``normalized`` vectors are taken as they are.
     """
     centroids = seeds(df, k, key, vector, seed)
     if compat == "legacy":
         return [[0.0] * len(c) for c in centroids]
-    rows = df.where(F.size(vector) == len(centroids[0])).select(l2_normalize_batches(vector).alias("_v")) if centroids else df
-    for _ in range(iterations if centroids else 0):
+    if not centroids:
+        return centroids
+    rows = df.where(F.size(vector) == len(centroids[0])).select((F.col(vector) if normalized else l2_normalize_batches(vector)).alias("_v"))
+    if iterations > 1:
+        rows = rows.persist()  # read and normalised once; what is lost is made anew
+    for _ in range(iterations):
         centroids = step(rows, centroids, "_v")
+    if iterations > 1:
+        rows.unpersist()
     return centroids

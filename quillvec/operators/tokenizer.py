@@ -1,18 +1,19 @@
 """Greedy longest-match tokenizers: Metaspace and WordPiece.
 
-Two strategies that agree: a regular expression in the JVM for vocabularies of up to a few thousand pieces, and a trie in an Arrow
-batch function for larger ones, built once per worker.
+Two strategies that agree: a trie in an Arrow batch function, built once per worker, which keeps the pieces of the words it has met; and a regular
+expression in the JVM, for small vocabularies where no Python may run.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -20,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from quillvec.functions.text import words
 
 TOKENS = ArrayType(StructType([StructField("key", StringType()), StructField("id", IntegerType())]))
-REGEX_PIECES = 4000  # above, "auto" takes the trie: an alternation is tried piece by piece
+WORDS_KEPT = 200_000  # words whose pieces a worker keeps
 _SPLIT = re.compile("[^ \t\n\x0b\x0c\r]+")
 
 
@@ -100,10 +101,8 @@ class TokenizerModel:
     # -- columns
 
     def tokenize(self, text: Column | str, strategy: str = "auto") -> Column:
-        """Array of (key, id) for a text column. Null and blank texts give an empty array. ``strategy``: "regex", "trie" or "auto"."""
+        """Array of (key, id) for a text column. Null and blank texts give an empty array. ``strategy``: "regex", "trie" or "auto", which is the trie."""
         column = F.col(text) if isinstance(text, str) else text
-        if strategy == "auto":
-            strategy = "regex" if len(self.vocab) <= REGEX_PIECES else "trie"
         return self._by_regex(column) if strategy == "regex" else self._by_trie(column)
 
     def pattern(self) -> str:
@@ -130,22 +129,54 @@ class TokenizerModel:
         return F.flatten(F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.transform(pieces(word(w)), token)))
 
     def _by_trie(self, text: Column) -> Column:
-        key = json.dumps([self.kind, self.prefix, self.unk_token, self.unk_id, self.vocab], ensure_ascii=False)
-        held = SparkSession.getActiveSession().sparkContext.broadcast(key)  # the vocabulary, once per executor
+        held = SparkSession.getActiveSession().sparkContext.broadcast(self.spec())  # the vocabulary, once per executor
 
-        @F.pandas_udf(TOKENS)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model, tries = _from_key(held.value)
-            for texts in batches:
-                yield texts.map(lambda t: [{"key": k, "id": i} for k, i in model.tokens(t, tries)] if isinstance(t, str) else [])
+        @F.arrow_udf(TOKENS)
+        def run(texts: pa.Array) -> pa.Array:
+            its = pieces_of(held.value)
+            at, ends = its.places(texts)
+            tokens = pa.StructArray.from_arrays([its.keys.take(pa.array(at)), its.ids.take(pa.array(at))], names=["key", "id"])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)
 
         return run(text)
 
+    def spec(self) -> str:
+        return json.dumps([self.kind, self.prefix, self.unk_token, self.unk_id, self.vocab], ensure_ascii=False)
+
+
+class Pieces:
+    """A worker's tables: pieces of the words that it has met, as places in the vocabulary; the unknown token has the last place."""
+
+    def __init__(self, spec: str):
+        self.model = TokenizerModel(*json.loads(spec))
+        self.tries = self.model._pieces()
+        names = [*self.model.vocab, self.model.unk_token]
+        self.keys, self.ids = pa.array(names, pa.string()), pa.array([*self.model.vocab.values(), self.model.unk_id], pa.int32())
+        self.place = {k: i for i, k in enumerate(self.model.vocab)}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        unknown, place, unk = len(self.place), self.place, (self.model.unk_token, self.model.unk_id)
+        made = array("i", [unknown if t == unk and t[0] not in place else place.get(t[0], unknown) for t in self.model.tokens(word, self.tries)]).tobytes()
+        if len(word) <= 64:
+            if len(self.words) >= WORDS_KEPT:
+                self.words.clear()
+            self.words[word] = made
+        return made
+
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The vocabulary places of the tokens of each text, one after the other, and where each text's end, from 0 on."""
+        known, parts, ends = self.words, [], [0]
+        for text in texts.to_pylist():
+            made = b"".join([known.get(w) or self._word(w) for w in _SPLIT.findall(text)]) if text else b""
+            parts.append(made)
+            ends.append(ends[-1] + len(made) // 4)
+        return np.frombuffer(b"".join(parts), np.int32), np.array(ends)
+
 
 @lru_cache(maxsize=4)
-def _from_key(key: str) -> tuple[TokenizerModel, tuple[dict, dict]]:
-    model = TokenizerModel(*json.loads(key))
-    return model, model._pieces()
+def pieces_of(spec: str) -> Pieces:
+    return Pieces(spec)
 
 
 def _trie(vocab: dict[str, int]) -> dict:
@@ -180,13 +211,13 @@ def explode_tokens(df: DataFrame, model: TokenizerModel, text: str = "text", str
 
 def register_udtf(spark: SparkSession, name: str, model: TokenizerModel) -> None:
     """A table function ``name(text)`` with rows (pos, key, id), for SQL."""
-    key = json.dumps([model.kind, model.prefix, model.unk_token, model.unk_id, model.vocab], ensure_ascii=False)
+    spec = model.spec()
 
     @F.udtf(returnType="pos int, key string, id int")
     class Tokenize:
         def eval(self, text: str):
-            its, tries = _from_key(key)
-            for pos, (k, i) in enumerate(its.tokens(text or "", tries)):
+            its = pieces_of(spec)
+            for pos, (k, i) in enumerate(its.model.tokens(text or "", its.tries)):
                 yield pos, k, i
 
     spark.udtf.register(name, Tokenize)

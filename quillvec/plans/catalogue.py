@@ -41,7 +41,10 @@ def wordpiece() -> TokenizerModel:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of long rows in one small file is dealt out anew, as one task would read it all."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +176,11 @@ def kmeans_two_iters(spark, sf_dir):
     return search.with_cluster(rows, cluster.fit(rows, iterations=2)).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-@query()
+def _rounds(n: int) -> str:
+    return ", ".join([_assign("a0", "c0"), *(x for i in range(1, n + 1) for x in (_update(f"c{i}", f"a{i - 1}", f"c{i - 1}"), _assign(f"a{i}", f"c{i}")))])
+
+
+@query(f"WITH {_UNIT}, {_SEEDS}, {_rounds(6)} SELECT cid AS cluster_id, count(*) AS n FROM a6 GROUP BY cid")
 def kmeans_six_iters(spark, sf_dir):
     rows = entries(spark, sf_dir)
     return search.with_cluster(rows, cluster.fit(rows)).groupBy("cluster_id").agg(F.count("*").alias("n"))
@@ -235,7 +242,10 @@ def matrix_shape(spark, sf_dir):
     return entries(spark, sf_dir).agg(F.count("*").alias("rows"), F.max(F.size("vector")).cast("long").alias("cols")).withColumn("size", F.col("rows") * F.col("cols"))
 
 
-@query()
+_SPELLED = "'[' || array_to_string(list_transform(embedding, lambda x: format('{:.6g}', CAST(x AS DOUBLE))), ', ') || ']'"
+
+
+@query(f"SELECT vec_id AS id, {_SPELLED} AS text, '[' || {_SPELLED} || ', ' || {_SPELLED} || ']' AS twice FROM embeddings")
 def vector_to_string(spark, sf_dir):
     return entries(spark, sf_dir).select("id", vectors.vector_to_string("vector").alias("text"), vectors.matrix_to_string(F.array("vector", "vector")).alias("twice"))
 
@@ -258,7 +268,7 @@ def _digest(tokens: DataFrame, unk: str) -> DataFrame:
 @query(f"""WITH {_TOKENS}, k AS (SELECT doc_id, list_transform(ps, lambda x: CASE WHEN list_contains({_KEYS}, x) THEN x ELSE '<unk>' END) AS ks FROM p)
 SELECT doc_id, CAST(len(ks) AS BIGINT) AS n_tokens, CAST(len(list_filter(ks, lambda x: x = '<unk>')) AS BIGINT) AS n_unk, md5(array_to_string(ks, ' ')) AS keys_md5 FROM k""")
 def tokenize_metaspace(spark, sf_dir):
-    return _digest(table(spark, sf_dir, "documents").select("doc_id", metaspace().tokenize("text", "regex").alias("t")), "<unk>")
+    return _digest(table(spark, sf_dir, "documents").select("doc_id", metaspace().tokenize("text").alias("t")), "<unk>")
 
 
 @query(SQL["tokenize_metaspace"])
@@ -279,7 +289,7 @@ d AS (SELECT doc_id, flatten(list(ks ORDER BY i)) AS ks FROM k GROUP BY doc_id)
 SELECT documents.doc_id, CAST(len(coalesce(ks, [])) AS BIGINT) AS n_tokens, CAST(len(list_filter(coalesce(ks, []), lambda x: x = '[UNK]')) AS BIGINT) AS n_unk, md5(array_to_string(coalesce(ks, []), ' ')) AS keys_md5
 FROM documents LEFT JOIN d USING (doc_id)""")
 def tokenize_wordpiece(spark, sf_dir):
-    return _digest(table(spark, sf_dir, "documents").select("doc_id", wordpiece().tokenize("text", "regex").alias("t")), "[UNK]")
+    return _digest(table(spark, sf_dir, "documents").select("doc_id", wordpiece().tokenize("text").alias("t")), "[UNK]")
 
 
 @query(f"WITH {_TOKENS} SELECT coalesce(vocab.key, '<unk>') AS key, count(*) AS n FROM (SELECT unnest(ps) AS x FROM p) LEFT JOIN vocab ON key = x GROUP BY 1")
@@ -333,8 +343,9 @@ def text_search_top1(spark, sf_dir):
 
 def _searched(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The texts nearest to document 1, itself among them."""
-    docs = embedded(spark, sf_dir)
-    asked = docs.where("doc_id = 1").select("vector").first()
+    docs, weights = table(spark, sf_dir, "documents").select("doc_id", "text"), _weights(spark, sf_dir)
+    asked = embed.embed(docs.where("doc_id = 1"), metaspace(), weights).select("vector").first()
+    docs = embed.embed(docs, metaspace(), weights)
     return search.knn_exact(docs, list(asked[0]) if asked and asked[0] else [], k, key="doc_id", digits=6).withColumn("similarity", F.col("similarity") + 0.0)
 
 
@@ -371,21 +382,21 @@ def return_strip_and_path(spark, sf_dir):
 
 
 def _csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with quoted commas, doubled quotes, an open quote, two and four fields, and carriage returns."""
+    """Lines with quoted commas, doubled quotes, an open quote, two and four fields, unit separators, and carriage returns."""
     name, brand, key = F.col("p_name"), F.col("p_brand"), F.col("p_partkey").cast("string")
     turn = F.col("p_partkey") % 6
     made = (
         F.when(turn == 0, F.concat_ws(",", key, name, brand)).when(turn == 1, F.concat(key, F.lit(',"'), name, F.lit(', x",'), brand, F.lit("\r")))
         .when(turn == 2, F.concat(key, F.lit(',"a""b '), name, F.lit('",'), brand)).when(turn == 3, F.concat(key, F.lit(',"'), name, F.lit(","), brand))
-        .when(turn == 4, F.concat_ws(",", key, name)).otherwise(F.concat(key, F.lit(","), name, F.lit(",")))
+        .when(turn == 4, F.concat_ws(",", key, name)).otherwise(F.concat(key, F.lit(",\x1f"), name, F.lit(",")))
     )
     return table(spark, sf_dir, "part").select("p_partkey", made.alias("line"))
 
 
 _CSV = """l AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_partkey || ',' || p_name || ',' || p_brand WHEN 1 THEN p_partkey || ',"' || p_name || ', x",' || p_brand || chr(13)
-WHEN 2 THEN p_partkey || ',"a""b ' || p_name || '",' || p_brand WHEN 3 THEN p_partkey || ',"' || p_name || ',' || p_brand WHEN 4 THEN p_partkey || ',' || p_name ELSE p_partkey || ',' || p_name || ',' END AS line FROM part),
+WHEN 2 THEN p_partkey || ',"a""b ' || p_name || '",' || p_brand WHEN 3 THEN p_partkey || ',"' || p_name || ',' || p_brand WHEN 4 THEN p_partkey || ',' || p_name ELSE p_partkey || ',' || chr(31) || p_name || ',' END AS line FROM part),
 q AS (SELECT p_partkey, string_split(CASE WHEN right(line, 1) = chr(13) THEN left(line, length(line) - 1) ELSE line END, '"') AS s FROM l),
-f AS (SELECT p_partkey, string_split(array_to_string(list_transform(s, lambda x, i: CASE WHEN i % 2 = 1 THEN replace(x, ',', chr(31)) ELSE x END), ''), chr(31)) AS f FROM q)"""
+f AS (SELECT p_partkey, string_split(array_to_string(list_transform(s, lambda x, i: CASE WHEN i % 2 = 1 THEN replace(x, ',', chr(1)) ELSE x END), ''), chr(1)) AS f FROM q)"""
 
 
 @query(f"WITH {_CSV} SELECT p_partkey, f[1] AS c1, f[2] AS c2, f[3] AS c3 FROM f WHERE len(f) = 3")
@@ -408,91 +419,146 @@ def jsonl_array_project(spark, sf_dir):
     return files.json_rows(lines, "ARRAY", ["0", "1", "2"]).select("event_id", "c1", "c2", "c3")
 
 
-@query("SELECT doc_id, line AS c1, 'N/A' AS c2, 'N/A' AS c3 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> ''")
-def txt_rows(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("c1")).where("c1 != ''")
-    return lines.select("doc_id", "c1", F.lit(files.MISSING).alias("c2"), F.lit(files.MISSING).alias("c3"))
-
-
 def _scratch(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="quillvec-")
 
 
-@query()
+def _written(lines: DataFrame, path: str, order: str, head: str | None = None) -> str:
+    """The ``line`` column as text files whose names follow the order; as one file below ``head`` if there is one."""
+    ordered = lines.select(F.struct(F.lit(1).alias("p"), F.col(order).alias("o")).alias("_o"), "line")
+    if head is not None:
+        first = lines.sparkSession.range(1).select(F.struct(F.lit(0).alias("p"), F.lit(None).cast(lines.schema[order].dataType).alias("o")).alias("_o"), F.lit(head).alias("line"))
+        ordered = first.unionByName(ordered)
+    (ordered.orderBy("_o") if head is None else ordered.repartitionByRange(1, "_o").sortWithinPartitions("_o")).select("line").write.text(path)
+    return path
+
+
+@query("""SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS row_num, line AS c1, 'N/A' AS c2, 'N/A' AS c3 FROM
+(SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE line <> ''""")
+def txt_rows(spark, sf_dir):
+    """All texts as text files, read in splits: lines and their numbers in file order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("line"))
+    return files.read_txt3(spark, _written(docs, f"{_scratch(spark)}/txt", "doc_id")).rows
+
+
+_FILES = f"""WITH {_CSV}, k AS (SELECT count(*) AS n FROM f WHERE len(f) = 3), j AS (SELECT count(*) AS n FROM events),
+c AS (SELECT len(json_keys(props)) AS columns FROM events ORDER BY event_id LIMIT 1), t AS (SELECT count(*) AS n FROM part WHERE p_name <> '')
+SELECT 'csv' AS format, n, n AS "end", 4 AS columns FROM k UNION ALL SELECT 'jsonl', n, n, CAST(columns AS INTEGER) FROM j, c UNION ALL SELECT 'txt', n, n, 1 FROM t"""
+
+
+@query(_FILES)
 def file_readers(spark, sf_dir):
     """CSV, JSON lines and text written and read back through the readers: rows and columns of each."""
     out = _scratch(spark)
     part, events = table(spark, sf_dir, "part"), table(spark, sf_dir, "events")
-    _csv_lines(spark, sf_dir).select("line").write.text(f"{out}/csv")
-    events.select("props").write.text(f"{out}/jsonl")
-    part.select("p_name").write.text(f"{out}/txt")
-    made = [("csv", files.read_csv3(spark, f"{out}/csv")), ("jsonl", files.read_jsonl3(spark, f"{out}/jsonl")), ("txt", files.read_txt3(spark, f"{out}/txt"))]
+    csv = _written(_csv_lines(spark, sf_dir), f"{out}/csv", "p_partkey", 'a,"b,c",d,e')
+    jsonl = _written(events.select("event_id", F.col("props").alias("line")), f"{out}/jsonl", "event_id")
+    txt = _written(part.select("p_partkey", F.col("p_name").alias("line")), f"{out}/txt", "p_partkey")
+    made = [("csv", files.read_csv3(spark, csv)), ("jsonl", files.read_jsonl3(spark, jsonl)), ("txt", files.read_txt3(spark, txt))]
     frames = [m.rows.agg(F.count("*").alias("n"), (F.max("row_num") + 1).alias("end")).select(F.lit(n).alias("format"), "n", "end", F.lit(m.columns).alias("columns")) for n, m in made]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query()
+@query("SELECT count(*) AS n, 64 AS dim, true AS inside, count(*) AS different FROM embeddings")
 def synthetic_vectors(spark, sf_dir):
-    """As many random vectors as there are entries, and their extremes."""
+    """As many random vectors as there are entries: all of one length, within bounds, and different."""
     rows = synthetic.random_vectors(spark, entries(spark, sf_dir).count(), 64, seed=1)
-    return rows.agg(F.count("*").alias("n"), F.min(F.array_min("vector")).alias("low"), F.max(F.array_max("vector")).alias("high"))
+    inside = (F.min(F.array_min("vector")) >= -1) & (F.max(F.array_max("vector")) < 1)
+    return rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"), inside.alias("inside"), F.countDistinct("vector").alias("different"))
 
 
 # ---- changes
 
 
-@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id <> 3")
+def _store(spark: SparkSession, sf_dir: str):
+    """A new store of all entries in order of their ids, which count from 0 as the store's do."""
+    from quillvec.operators.store import VectorStore
+
+    rows = entries(spark, sf_dir).withColumn("text", F.col("label").cast("string"))
+    made = VectorStore(spark, f"{_scratch(spark)}/store", rows.agg(F.max(F.size("vector"))).first()[0])
+    made.add(rows, text="text", order="id")
+    return made, rows
+
+
+def _stored(store) -> DataFrame:
+    """All of a store's entries, a row for each component."""
+    rows = store.entries().select("id", "vector", "file_path", F.col("text").cast("int").alias("label"))
+    return flat(rows, "id", "file_path", "label")
+
+
+_NUMBERED = f"{_UNIT}, r AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, label, n FROM u)"
+_COMPONENTS = "SELECT id, 'db/' || id || '.txt' AS file_path, label, CAST(generate_subscripts(n, 1) - 1 AS BIGINT) AS dim, round(CAST(CAST(unnest(n) AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM"
+
+
+@query(f"WITH {_NUMBERED} {_COMPONENTS} r WHERE id NOT IN (3, 5)")
 def delete_by_id(spark, sf_dir):
-    return entries(spark, sf_dir).where("id != 3").select("id", "label")
+    store, _ = _store(spark, sf_dir)
+    assert store.delete(3) and store.delete(5) and not store.delete(3)
+    return _stored(store)
 
 
-@query("SELECT n + row_number() OVER (ORDER BY vec_id) - 1 AS new_id, vec_id AS id FROM embeddings, (SELECT max(vec_id) + 1 AS n FROM embeddings)")
+@query(f"WITH {_NUMBERED}, t AS (SELECT count(*) AS n FROM r), x AS (SELECT id, label, n FROM r WHERE id <> 7 UNION ALL SELECT r.id + t.n, r.label, r.n FROM r, t) {_COMPONENTS} x")
 def insert_ids(spark, sf_dir):
-    from quillvec.operators.store import number
+    """Ids go on after a delete; a store that is opened again goes on too."""
+    from quillvec.operators.store import VectorStore
 
-    rows = entries(spark, sf_dir).select("id")
-    following = rows.agg((F.max("id") + 1).alias("_next"))  # one row
-    return number(rows, "id", f"{_scratch(spark)}/ids").crossJoin(F.broadcast(following)).select((F.col("_n") + F.col("_next")).alias("new_id"), "id")
+    store, rows = _store(spark, sf_dir)
+    store.delete(7)
+    again = VectorStore(spark, store.path, store.dim)
+    again.add(rows, text="text", order="id")
+    return _stored(VectorStore(spark, store.path, store.dim))
 
 
-@query("SELECT max(vec_id) + 1 AS next_id, count(*) AS n FROM embeddings")
+@query("SELECT CAST(count(*) AS BIGINT) AS next_id, CAST(count(*) - 1 AS BIGINT) AS n FROM embeddings")
 def next_id(spark, sf_dir):
-    return entries(spark, sf_dir).agg((F.max("id") + 1).alias("next_id"), F.count("*").alias("n"))
+    store, _ = _store(spark, sf_dir)
+    store.delete(store.current_id() - 1)
+    return store.entries().agg(F.count("*").alias("n")).withColumn("next_id", F.lit(store.current_id()).cast("long"))
 
 
-@query("SELECT vec_id AS id, label FROM embeddings UNION ALL SELECT vec_id AS id, label FROM embeddings")
+@query("""WITH l AS (SELECT p_partkey, p_name || ',' || p_brand || ',' || p_partkey AS line FROM part), n AS (SELECT count(*) AS n FROM part),
+r AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_name AS c1, p_brand AS c2, CAST(p_partkey AS VARCHAR) AS c3 FROM part)
+SELECT CAST(i AS BIGINT) AS row_num, c1, c2, c3 FROM r UNION ALL SELECT CAST(i + n AS BIGINT), c1, c2, c3 FROM r, n""")
 def append_loads(spark, sf_dir):
-    rows = entries(spark, sf_dir).select("id", "label")
-    return rows.unionByName(rows)
+    """One CSV file loaded twice; rows of the second load follow those of the first."""
+    path = f"{_scratch(spark)}/csv"
+    part = table(spark, sf_dir, "part")
+    lines = part.select("p_partkey", F.concat_ws(",", "p_name", "p_brand", F.col("p_partkey").cast("string")).alias("line"))
+    _written(lines, path, "p_partkey", "name,brand,key")
+    first = files.read_csv3(spark, path)
+    return first.append(files.read_csv3(spark, path)).rows
 
 
-@query("SELECT count(*) AS n, max(vec_id) + 1 AS next_id FROM embeddings")
+@query(f"WITH {_NUMBERED} {_COMPONENTS} r WHERE id <> 2")
 def save_load_roundtrip(spark, sf_dir):
     from quillvec.operators.store import VectorStore
 
-    rows = entries(spark, sf_dir)
-    dim = rows.agg(F.max(F.size("vector"))).first()[0]
+    store, _ = _store(spark, sf_dir)
+    store.delete(2)
     path = _scratch(spark)
-    store = VectorStore(spark, f"{path}/a", dim)
-    store.add(rows, order="id")
     store.save(f"{path}/b")
-    other = VectorStore(spark, f"{path}/c", dim)
+    other = VectorStore(spark, f"{path}/c", store.dim)
     other.load(f"{path}/b")
-    return other.entries().agg(F.count("*").alias("n")).withColumn("next_id", F.lit(other.current_id()).cast("long"))
+    assert other.current_id() == store.current_id()
+    return _stored(other)
 
 
 def _binary_roundtrip(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values, after being written and read: (id, dim, value)."""
     binary.register(spark)
     rows = entries(spark, sf_dir)
     path = os.path.join(binary.local(_scratch(spark)), kind)
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    made = rows.select(F.col("id").cast("int").alias("token_id" if kind == "npy" else "id"), "vector", F.lit("db/x.txt").alias("file_path")).orderBy("token_id" if kind == "npy" else "id")
-    made.write.format(kind).mode("overwrite").save(path)
+    key = "token_id" if kind == "npy" else "id"
+    made = rows.select(F.col("id").cast("int").alias(key), "vector", F.lit("db/x.txt").alias("file_path")).orderBy(key)
+    made.write.format(kind).mode("overwrite").option("dtype", "<f4").save(path)
     back = spark.read.format(kind).load(path)
-    return back.agg(F.count("*").alias("rows"), F.max(F.size("vector")).cast("long").alias("cols")).withColumn("size", F.col("rows") * F.col("cols"))
+    return flat(back.select(F.col(key).cast("long").alias("id"), "vector"), "id")
 
 
 QUERIES["npy_roundtrip"] = partial(_binary_roundtrip, "npy")
 QUERIES["vecbin_roundtrip"] = partial(_binary_roundtrip, "vecbin")
-SQL["npy_roundtrip"] = SQL["vecbin_roundtrip"] = SQL["matrix_shape"]
+_VALUES = "SELECT {id} AS id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) + 0.0 AS value FROM embeddings"
+SQL["npy_roundtrip"] = _VALUES.format(id="(row_number() OVER (ORDER BY vec_id) - 1)")
+SQL["vecbin_roundtrip"] = _VALUES.format(id="vec_id")

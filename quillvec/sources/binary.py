@@ -61,7 +61,7 @@ def _arrow(ids: np.ndarray, vectors: np.ndarray, name: str) -> pa.RecordBatch:
 
 class NpySource(DataSource):
     """Read with ``spark.read.format("npy").load(path)``: (token_id int, vector array<float>); option rowsPerPartition. Write with mode append or overwrite
-    from one partition in row order: a matrix of half floats."""
+    from one partition in row order: a matrix of half floats, or of the option dtype (<f2, <f4, <f8)."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,14 +146,20 @@ class _PartWriter(DataSourceWriter):
 
 
 class NpyWriter(_PartWriter):
+    def __init__(self, options):
+        super().__init__(options)
+        self.kind = self.options.get("dtype", "<f2")
+        if self.kind not in ("<f2", "<f4", "<f8"):
+            raise ValueError(f"dtype {self.kind} is not a little-endian float")
+
     def id_of(self, r):
         return r["token_id"]
 
     def record(self, r, vector):
-        return np.array(vector, "<f2").tobytes()
+        return np.array(vector, self.kind).tobytes()
 
     def header(self, rows, columns):
-        head = repr({"descr": "<f2", "fortran_order": False, "shape": (rows, columns)})
+        head = repr({"descr": self.kind, "fortran_order": False, "shape": (rows, columns)})
         head += " " * (-(len(head) + 11) % 64) + "\n"
         return b"\x93NUMPY\x01\x00" + struct.pack("<H", len(head)) + head.encode("latin-1")
 

@@ -30,11 +30,10 @@ def scored(queries: DataFrame, entries: DataFrame, query_key: str = "query_id",
 
 
 def ingest(vectors: DataFrame, store: VectorStore, checkpoint: str, text: str | None = None, order: str | None = None) -> StreamingQuery:
-    """Adds each micro-batch of a stream to a store. A batch that was added before a failure is not added again."""
+    """Adds each micro-batch of a stream to a store. The store keeps the number of the last one under the name of the checkpoint, so a batch that
+    was added before a failure or a restart is not added again."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > getattr(store, "last_batch", -1):
-            store.add(batch, "vector", text, order)
-            store.last_batch = batch_id
+        store.add(batch, "vector", text, order, once=(checkpoint, batch_id))
 
     return vectors.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()

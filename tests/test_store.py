@@ -1,6 +1,7 @@
 import pytest
 
-from quillvec.operators.store import VectorStore
+from quillvec.operators import store as store_module
+from quillvec.operators.store import VectorStore, numbered
 from quillvec.sources import binary
 from quillvec.streaming import serve
 
@@ -97,3 +98,59 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.query_id, r.id) for r in spark.table("scored").collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_open_again_and_append(spark, tmp_path):
+    store = VectorStore(spark, f"{tmp_path}/a", 2)
+    store.add(batch(spark, ROWS), text="text", order="o")
+    store.delete(0)
+    before = {f for f in (tmp_path / "a" / "data").rglob("*.parquet")}
+    again = VectorStore(spark, f"{tmp_path}/a", 2)
+    assert again.count() == 2 and again.current_id() == 3 and again.stale
+    again.add(batch(spark, ROWS[:1]), order="o")
+    assert before < {f for f in (tmp_path / "a" / "data").rglob("*.parquet")}  # nothing is written anew
+    last = VectorStore(spark, f"{tmp_path}/a", 2)
+    assert sorted(r.id for r in last.entries().collect()) == [1, 2, 3] and last.current_id() == 4
+    with pytest.raises(ValueError):
+        VectorStore(spark, f"{tmp_path}/a", 3)
+    with pytest.raises(Exception):  # noqa: B017  the other writer was first
+        store.delete(1)
+    assert VectorStore(spark, f"{tmp_path}/a", 2).count() == 3
+
+
+def test_facts_that_were_cut_off(spark, tmp_path):
+    store = VectorStore(spark, f"{tmp_path}/a", 2)
+    store.add(batch(spark, ROWS), order="o")
+    (tmp_path / "a" / "facts" / f"{store.number + 1:012d}.json").write_text('{"dim": 2, "par')
+    assert VectorStore(spark, f"{tmp_path}/a", 2).count() == 3
+
+
+def test_many_deletes_are_applied(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MARKS", 2)
+    store = VectorStore(spark, f"{tmp_path}/a", 2)
+    store.add(batch(spark, ROWS), order="o")
+    assert store.delete(0) and store.deleted == [0] and store.delete(2) and store.deleted == []
+    assert [r.id for r in store.entries().collect()] == [1] and store.current_id() == 3
+    store.build_index()
+    assert VectorStore(spark, f"{tmp_path}/a", 2).centroids == store.centroids
+
+
+def test_batches_are_added_once(spark, tmp_path):
+    store = VectorStore(spark, f"{tmp_path}/a", 2)
+    for _ in range(2):
+        store.add(batch(spark, ROWS), order="o", once=("stream", 0))
+    again = VectorStore(spark, f"{tmp_path}/a", 2)
+    again.add(batch(spark, ROWS), order="o", once=("stream", 0))
+    again.add(batch(spark, ROWS[:1]), order="o", once=("stream", 1))
+    assert again.count() == 4
+
+
+def test_numbers_follow_the_order(spark, monkeypatch):
+    monkeypatch.setattr(store_module, "BUCKET", 50)
+    for n, rows in ((12_000, spark.range(12_000).selectExpr("id * 7919 % 12000 AS o")), (5_000, spark.range(5_000).selectExpr("CAST(id % 3 AS STRING) AS o"))):
+        got, total = numbered(rows.repartition(5), "o", rows)
+        found = [(r._n, r.o) for r in got.collect()]
+        assert total == n and sorted(x for x, _ in found) == list(range(n))
+        assert [o for _, o in sorted(found)] == sorted(o for _, o in found)
+    got, total = numbered(rows.limit(0), "o", rows.limit(0))
+    assert total == 0 and got.collect() == []

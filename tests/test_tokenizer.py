@@ -88,4 +88,14 @@ def test_matrix_is_broadcast_only_under_its_bound(spark):
         plans = [embed.embed(df, META, weights, broadcast_bytes=b).select(F.count("*"))._jdf.queryExecution().toString() for b in (1 << 20, 0)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "strategy=broadcast" in plans[0] and "strategy=broadcast" not in plans[1]
+    assert "Join" not in plans[0] and "Join" in plans[1] and "strategy=broadcast" not in plans[1]
+
+
+def test_means_of_both_ways_agree(spark):
+    weights = spark.createDataFrame([(i, [float(i), 1.0 / (i + 1)]) for i in range(0, 40, 3)], "token_id int, vector array<double>")
+    df = spark.createDataFrame([(1, "the house of and in"), (2, None), (3, ""), (4, "xyzzy the the the" * 50), (5, "日本")], "doc_id int, text string")
+    model = TokenizerModel.from_vocab({p: i for i, p in enumerate(["<unk>", "▁", "▁the", "▁of", "t", "h", "e", "o", "x", "y"])}, "Metaspace", "▁", "<unk>")
+    near, far = ({r.doc_id: r.vector for r in embed.embed(df, model, weights, broadcast_bytes=b).collect()} for b in (1 << 20, 0))
+    assert set(near) == set(far) and all((near[d] is None) == (far[d] is None) for d in near)
+    assert all(abs(x - y) < 1e-12 for d in near if near[d] for x, y in zip(near[d], far[d], strict=True))
+    assert near[2] is near[3] is None and near[4] is not None
