@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quillvec.functions.vectors import dot, l2_normalize, l2_normalize_batches, units
 from quillvec.operators.embed import mean_vector
@@ -25,6 +27,23 @@ def nearest(vector: Column | str, centroids: list[list[float]]) -> Column:
     return F.coalesce(-F.array_max(F.filter(sims, lambda x: x["s"].isNotNull()))["i"], F.lit(0))
 
 
+def homes(centroids: list[list[float]]):
+    """A function of a vector column: as :func:`nearest`, in matrix products on Arrow batches, for vectors of many dimensions. Vectors of another dimension go to the lowest."""
+    held = np.array(centroids, float)
+
+    @F.arrow_udf(IntegerType())
+    def run(v: pa.Array) -> pa.Array:
+        n = pa.compute.fill_null(pa.compute.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+        ok = n == held.shape[1]
+        out = np.zeros(len(n), np.int32)
+        if ok.any():
+            m = np.array((v if ok.all() else v.filter(pa.array(ok))).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, held.shape[1])
+            out[ok] = np.nan_to_num(m @ held.T, nan=-np.inf).argmax(axis=1)
+        return pa.array(out)
+
+    return run
+
+
 def assign(df: DataFrame, centroids: list[list[float]], vector: str = "vector", to: str = "cluster_id") -> DataFrame:
     return df.withColumn(to, nearest(vector, centroids).cast("int"))
 

@@ -59,7 +59,7 @@ class VectorStore:
     def _part(self, rows: DataFrame, centroids: list[list[float]]) -> str:
         """Writes a part."""
         name = uuid.uuid4().hex
-        placed = rows.withColumn("cluster_id", cluster.nearest("vector", centroids).cast("int") if centroids else F.lit(0))
+        placed = rows.withColumn("cluster_id", cluster.homes(centroids)(F.col("vector")) if centroids else F.lit(0))
         placed.write.partitionBy("cluster_id").parquet(f"{self.path}/data/{name}")
         return name
 
@@ -124,6 +124,15 @@ class VectorStore:
             return self.search(query, k)
         return search.knn_clustered(self.entries(), self.centroids, query, k, normalized=True)
 
+    def search_batch(self, queries: DataFrame, k: int, clustered: bool = False, query_key: str = "query_id", vector: str = "vector") -> DataFrame:
+        """(query_key, rank, id, similarity) for many queries at once; ``clustered`` looks into each query's nearest cluster only."""
+        if clustered and self.stale:
+            self.build_index()
+        if not clustered or not self.centroids:
+            return search.knn_join(queries, self.entries(), k, query_key=query_key, vector=vector)
+        asked = queries.withColumn("cluster_id", cluster.homes(self.centroids)(F.col(vector)))
+        return search.knn_join(asked, self.entries(), k, query_key=query_key, vector=vector, cluster="cluster_id")
+
     def search_text(self, query: list[float], k: int) -> str:
         return search.search_text(self.entries(), query, k, normalized=True) if len(query) == self.dim else ""
 
