@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 _fallback: list[str] = []
+#: Where :func:`durable` notes the tables of the work at hand, if anybody collects them.
+collecting: ContextVar[list[str] | None] = ContextVar("collecting", default=None)
 #: Paths of tables that :func:`durable` wrote and :func:`forget` has not deleted.
 written: list[str] = []
 
@@ -46,6 +49,8 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     written.append(path)
+    if (mine := collecting.get()) is not None:
+        mine.append(path)
     spark._jvm.System.gc()  # Spark deletes shuffle files once the driver has forgotten their plan, which a full heap would else put off
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path

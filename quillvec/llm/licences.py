@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shielded
+from .common import durable, few, shielded
 
 # SPDX identifiers and notices that name the licence, one line each.
 TEMPLATES = [
@@ -49,9 +49,12 @@ def terms(text: Column) -> Column:
 
 
 def units(text: Column, whole: Column) -> Column:
-    """Sentences and lines that speak of a licence, blanks collapsed; and the whole text where ``whole``."""
+    """Sentences and lines that speak of a licence, blanks collapsed, sentences also over the lines of a paragraph and without marks of comments; and the whole
+    text where ``whole``."""
     t = F.coalesce(text, F.lit(""))
-    parts = F.filter(F.split(t, r"\n|(?<=[.!?])\s+|\s\|\s"), lambda s: s.rlike(TRIGGER))
+    bare = F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), r"(?m)^[ \t]*+(?:/\*++|\*++/?|//++|#++|;++|--++|<!--)?+[ \t]*+", "")
+    both = F.concat_ws("\n", t, F.regexp_replace(bare, r"(?<!\n)\n(?!\n)", " "))
+    parts = F.filter(F.split(both, r"\n|(?<=[.!?])\s+|\s\|\s"), lambda s: s.rlike(TRIGGER))
     clean = lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))
     found = F.when(t.rlike(TRIGGER), F.transform(parts, clean)).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(found, F.when(whole & (F.length(F.trim(t)) > 0), F.array(clean(t))).otherwise(F.array().cast("array<string>"))))
@@ -102,9 +105,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
     parts = sets.select("_of", F.explode("_units").alias("_unit"))
     best = parts.join(scored, F.col("_unit") == F.col("unit")).groupBy("_of").agg(F.max(F.struct("score", "licence")).alias("_best"))
     best = durable(best.select(F.col("_of").alias("_key"), F.col("_best.licence").alias("licence"), F.col("_best.score").alias("score")))
-    marked = durable(
-        rows.withColumn("_of", F.when(F.size("_units") > 0, F.sha2(F.concat_ws("\n", "_units"), 256))).drop("_units").join(best, F.col("_of") == F.col("_key"), "left").drop("_of", "_key")
-    )
+    # Rows without a unit, mostly nearly all, take no part in the join: their null keys would meet in one task.
+    known = few(rows.where(F.size("_units") > 0).withColumn("_of", F.sha2(F.concat_ws("\n", "_units"), 256)).drop("_units"), best, F.col("_of") == F.col("_key"), "left").drop("_of", "_key")
+    bare = rows.where(F.size("_units") <= 0).drop("_units").withColumn("licence", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double"))
+    marked = durable(known.unionByName(bare))
     directory = F.regexp_replace("_path", r"/?[^/]*$", "")
     dirs = marked.where(F.col("licence").isNotNull() & F.col("_path").rlike(_GOVERNS)).select(directory.alias("_dir"), "licence", "score", "_path")
     dirs = dirs.groupBy("_dir").agg(F.max(F.struct("score", "licence", "_path")).alias("_from"))
@@ -115,7 +119,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
     chain = lacking.select(F.col("_dir").alias("_below"), F.explode(above).alias("_a")).select("_below", "_a.depth", "_a.up")
     heirs = chain.join(dirs, F.col("up") == F.col("_dir")).groupBy("_below").agg(F.max(F.struct("depth", "_from")).alias("_got")).select("_below", F.col("_got._from").alias("_from"))
     heirs = durable(heirs)
-    joined = marked.withColumn("_at", F.when(F.col("licence").isNull(), directory)).join(heirs, F.col("_at") == F.col("_below"), "left")
+    # So do those with a licence; directories, few for many files, are broadcast as long as they are few.
+    asks = F.col("licence").isNull() & F.col("_path").isNotNull()
+    heir = few(marked.where(asks).withColumn("_at", directory), heirs, F.col("_at") == F.col("_below"), "left").drop("_at", "_below")
+    joined = heir.unionByName(marked.where(~asks).withColumn("_from", F.lit(None).cast(heirs.schema["_from"].dataType)))
     own_path = F.when(F.col("licence").isNotNull(), F.col("_path"))
     return joined.select(
         *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],

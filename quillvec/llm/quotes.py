@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, only
+from .common import durable, few, only
 
 PREFIX = r"^[ \t]{0,3}(?:>[ \t]?+)++"  # possessive: Java runs such loops without recursion
 #: A line that only announces a quotation; it goes with the quotation below it.
@@ -75,12 +75,13 @@ def thread(df: DataFrame, rounds: int = 40) -> DataFrame:
     has_quote = F.col("text").rlike(r"(?m)" + PREFIX)
     parsed = messages.withColumn("_rows", F.when(has_quote, lines(F.col("text"))))
     content = durable(parsed.select("conv_id", "turn", "role", F.when(has_quote, without_quotes(F.col("_rows"))).otherwise(F.col("text")).alias("text")))
-    found = messages.select("conv_id", "turn", F.explode(passages(lines(F.col("text")))).alias("p")).select(
-        "conv_id", "turn", "p.level", "p.n", F.length("p.words").alias("size"), F.sha2("p.words", 256).alias("hash")
-    )
-    found = durable(found)
-    quoted = found.where("level > 0")
-    sought = found.join(quoted.select(F.col("hash").alias("_h")).distinct(), F.col("hash") == F.col("_h"), "left_semi")
+    def parted(df: DataFrame) -> DataFrame:
+        made = df.select("conv_id", "turn", F.explode(passages(lines(F.col("text")))).alias("p"))
+        return made.select("conv_id", "turn", "p.level", "p.n", F.length("p.words").alias("size"), F.sha2("p.words", 256).alias("hash"))
+
+    # Only what some message quotes is looked for among the others, and nothing if none quotes.
+    asked = durable(parted(messages.where(has_quote)).where("level > 0").select(F.col("hash").alias("_h")).distinct())
+    sought = durable(few(parted(messages if asked.limit(1).count() else messages.limit(0)), asked, F.col("hash") == F.col("_h"), "left_semi"))
     # The nearest earlier owner of the words in the conversation: a running maximum, not a join of all pairs.
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = sought.withColumn("_turn", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)).where("level > 0")

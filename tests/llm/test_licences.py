@@ -78,3 +78,12 @@ def test_empty_repeated_and_long(spark):
     df = spark.createDataFrame([("d/x", "licence " * 20_000), ("d/x", "Released under the MIT License."), ("d/x", "Released under the MIT License.")], "path string, text string")
     assert sorted(r.licence or "" for r in licences.scan(df, keep=["path"]).collect()) == ["", "MIT", "MIT"]
     assert licences.scan(df.limit(0), keep=["path"]).collect() == []
+
+
+def test_headers_over_several_lines(spark):
+    """A notice that is wrapped and commented out counts as one sentence."""
+    header = "/*\n * This program is free software: you can redistribute it and/or\n * modify it under the terms of the GNU General Public License as\n * published by the Free Software Foundation, either version 3 of the\n * License, or any later version.\n */\nint x;"
+    hashes = "# Permission is hereby granted, free of charge, to any person\r\n# obtaining a copy of this software and associated documentation\r\n# files (the Software), to deal in the Software without restriction\r\n\r\nx = 1"
+    df = spark.createDataFrame([("a/x.c", header, "kept"), ("b/y.py", hashes, "kept")], "path string, text string, licence string")
+    got = {r.path: (r.licence, r.score > 0.95) for r in licences.scan(df, keep=["path"]).collect()}
+    assert got == {"a/x.c": ("GPL-3.0", True), "b/y.py": ("MIT", True)}
