@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -280,7 +281,9 @@ CROWD = 64  # rows up to which a bucket's pairs are all looked at
 STEPS, APART = 16, 6
 SKETCH = 128  # counts of a sketch
 _ROW = np.dtype([("key", "<u4"), ("id", "<i8"), ("rest", "<u8"), ("size", "u1")])
-_LATER = np.dtype([*_ROW.descr, ("ask", "u1"), ("label", "<i8"), ("after", "<i8")])
+#: A row of a bucket that is looked at again: whether it asks (1) and is told of (2), and the last partner that it has got.
+_LATER = np.dtype([*_ROW.descr, ("side", "u1"), ("after", "<i8")])
+_NONE = -(1 << 63)
 
 
 class _Digests(dict):
@@ -329,72 +332,102 @@ def wide_keys(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield ((p << 24) + (ci[at, x].astype(np.uint32) << 12) + cj[at, y]).astype(np.uint32), at, rest[at]
 
 
-def _small(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (larger id, smaller id) within reach in buckets of few rows, which come by key and id."""
+def _small(rows: np.ndarray, first: np.ndarray, size: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """In buckets of few rows, which come by key and id: places of rows and of their first ``limit`` partners with smaller ids, and whether a pair is the last of more."""
     start = np.repeat(first, size)
     asks = np.flatnonzero((np.repeat(size, size) <= CROWD) & (np.arange(len(rows)) > start))
-    for part in np.array_split(asks, 1 + int((asks - start[asks]).sum()) // (1 << 20)):
+    pairs = np.cumsum(asks - start[asks]) >> 20
+    for part in np.split(asks, np.flatnonzero(pairs[1:] != pairs[:-1]) + 1):
         n = part - start[part]
         x = np.repeat(part, n)
         y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + start[x]
         near = np.bitwise_count(rows["rest"][x] ^ rows["rest"][y]) <= FAR
         x, y = x[near], y[near]
         near = np.abs(rows["size"][x].astype(np.int16) - rows["size"][y]) <= APART
-        yield rows["id"][x[near]], rows["id"][y[near]]
-
-
-def crowded(ask: np.ndarray, tell: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of ``ask`` the first ``limit`` rows of ``tell`` with a smaller id within reach; more marks the last of those that have others.
-
-    Both come by id. In later rounds partners must be after a row's cursor and have another label.
-    """
-    later = "label" in ask.dtype.names
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        x, y = x[near], y[near]
+        if len(x):
+            turn = np.arange(len(x)) - np.maximum.accumulate(np.where(np.concatenate(([True], x[1:] != x[:-1])), np.arange(len(x)), 0))
+            more = (turn == limit - 1) & np.concatenate((x[1:] == x[:-1], [False]))
+            use = turn < limit
+            yield x[use], y[use], more[use]
+
+
+def crowded(ask: np.ndarray, tell: np.ndarray, limit: int, labels: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of rows of ``ask`` and of their first ``limit`` partners in ``tell``: within reach, with a smaller id, after the last one that they got, and with another
+    label if there are some; and which rows have more. Both come by id."""
+    mine, theirs = labels if labels else (None, None)
+    out, more = [], np.zeros(len(ask), bool)
     for at in range(0, len(ask), 256):
         block = ask[at : at + 256]
-        found, last, more = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64), np.zeros(len(block), bool)
-        open_ = np.arange(len(block))
-        made = []
+        found, open_ = np.zeros(len(block), np.int64), np.arange(len(block))
         for to in range(0, len(tell), 2048):
             a, t = block[open_], tell[to : to + 2048]
             if not len(a) or t["id"][0] >= a["id"].max():
                 break
             hit = np.bitwise_count(a["rest"][:, None] ^ t["rest"][None]) <= FAR
-            hit &= (t["id"][None] < a["id"][:, None]) & (np.abs(a["size"][:, None].astype(np.int16) - t["size"][None]) <= APART)
-            if later:
-                hit &= (t["label"][None] != a["label"][:, None]) & (t["id"][None] > a["after"][:, None])
+            hit &= (t["id"][None] < a["id"][:, None]) & (t["id"][None] > a["after"][:, None])
+            hit &= np.abs(a["size"][:, None].astype(np.int16) - t["size"][None]) <= APART
+            if labels:
+                hit &= theirs[None, to : to + 2048] != mine[at : at + 256][open_, None]
             turn = found[open_][:, None] + np.cumsum(hit, axis=1)
             x, y = np.nonzero(hit & (turn <= limit))
-            made.append((open_[x], t["id"][y]))
-            last[open_[x]] = t["id"][y]  # of several the last one counts
+            out.append((at + open_[x], to + y))
             found[open_] = turn[:, -1]
-            more[open_] |= turn[:, -1] > limit
             open_ = open_[found[open_] <= limit]
-        if made:
-            x, y = (np.concatenate(z) for z in zip(*made, strict=True))
-            out.append((block["id"][x], y, more[x] & (y == last[x])))
+        more[at : at + 256] = found > limit
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
-
-
-def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int = 1 << 21, only_keys: np.ndarray | None = None) -> DataFrame:
-    """(x, y, more, keys): ids of rows of ``rows`` whose wide fingerprints meet under a key and are within reach, y the smaller id.
-
-    ``rows`` has id (no two alike), print and n (the size of the set). All pairs of a bucket of up to ``CROWD`` rows come; a row of a larger one gets its
-    ``limit`` first partners there, the last marked with more if there are others, and keys lists the keys of such buckets. If ``rows`` also has ask, label and after, only these are
-    looked for: partners in larger buckets of the rows that ask, with another label, and an id beyond ``after``; ``only_keys`` are the sorted keys to look at, all if None.
+        return np.empty(0, np.int64), np.empty(0, np.int64), more
+    x, y = (np.concatenate(z) for z in zip(*out, strict=True))
+    order = np.lexsort((y, x))
+    return x[order], y[order], more
+
+
+def _batch(x: np.ndarray, y: np.ndarray, buckets: list[np.ndarray] = (), key: np.ndarray | None = None) -> pa.RecordBatch:
+    """Pairs, and packed buckets under a key: 0, or that of a bucket too large for one task, which comes row by row."""
+    n, m = len(x), len(buckets)
+    keys_ = pa.array(np.zeros(m, np.int64) if key is None else key)
+    cols = [pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(m, pa.int64())]) for v in (x, y)]
+    cols += [pa.concat_arrays([pa.nulls(n, pa.int64()), keys_]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([b.tobytes() for b in buckets], pa.binary())])]
+    return pa.RecordBatch.from_arrays(cols, names=["x", "y", "key", "rows"])
+
+
+_FOUND = "x long, y long, key long, rows binary"
+
+
+def _again(r: np.ndarray, limit: int, labels=None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Pairs (ids) of one bucket, and the bucket if some of its rows have more."""
+    asks, tells = np.flatnonzero(r["side"] & 1), np.flatnonzero(r["side"] & 2)
+    known = None
+    if labels is not None:
+        label = labels(r["id"])
+        if (label == label[0]).all():
+            return np.empty(0, np.int64), np.empty(0, np.int64), []
+        known = label[asks], label[tells]
+    x, y, more = crowded(r[asks], r[tells], limit, known)
+    ids = r["id"][asks][x], r["id"][tells][y]
+    if not more.any():
+        return *ids, []
+    r = r.copy()
+    last = np.flatnonzero(np.concatenate((x[1:] != x[:-1], [True])) if len(x) else np.empty(0, bool))
+    r["after"][asks[x[last]]] = ids[1][last]
+    r["side"][asks[~more]] &= 2
+    return *ids, [r]
+
+
+def partners(rows: DataFrame, limit: int = 1, block: int = 1 << 14, held: int = 1 << 21) -> DataFrame:
+    """Pairs (x, y) of ids of rows whose wide fingerprints meet under a key and are within reach, y the smaller; and packed buckets (key, rows).
+
+    ``rows`` has id (no two alike), print and n (the size of the set). A row gets its ``limit`` first partners of each bucket; buckets in which a row has more come
+    along, for :func:`others`.
 
     Each task of the first step sends what belongs to one stretch of keys as one packed row. A task of the second holds a stretch, about ``held`` rows of it at
-    most: rows of a key with more than ``block`` are passed on and compared block by block, each pair of blocks in a task of its own.
+    most: rows of a key with more than ``block`` are passed on and compared block by block, each pair of blocks as a bucket in a task of its own.
     """
-    later = "label" in rows.columns
-    kind = _LATER if later else _ROW
     tasks = partitions(rows.sparkSession)
     stretches = 16 * tasks
 
     def emit(batches):
-        for b in bpe.small(batches, 1024 if later else 2048):
+        for b in bpe.small(batches, 2048):
             ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
             prints = np.frombuffer(b"".join(b.column("print").to_pylist()), np.uint8).reshape(-1, 16)
             if not len(ids):
@@ -402,102 +435,153 @@ def partners(rows: DataFrame, limit: int = 4, block: int = 1 << 14, held: int =
             sizes = np.round(np.log2(np.maximum(n, 1)) * STEPS).clip(0, 255).astype(np.uint8)
             made = []
             for key, at, rest in wide_keys(prints):
-                if only_keys is not None:
-                    known = only_keys[np.minimum(np.searchsorted(only_keys, key), len(only_keys) - 1)] == key
-                    key, at, rest = key[known], at[known], rest[known]
-                r = np.empty(len(key), kind)
+                r = np.empty(len(key), _ROW)
                 r["key"], r["id"], r["rest"], r["size"] = key, ids[at], rest, sizes[at]
-                if later:
-                    for c in ("ask", "label", "after"):
-                        r[c] = b.column(c).to_numpy(zero_copy_only=False)[at]
                 made.append(r)
             r = np.concatenate(made)
-            if not len(r):
-                continue
             stretch = ((r["key"] * np.uint32(2654435761)).astype(np.uint64) * np.uint64(stretches) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(stretch, kind="stable")
             r, stretch = r[order], stretch[order]
             first = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
-            ends = (np.append(first, len(r)) * kind.itemsize).astype(np.int32)
+            ends = (np.append(first, len(r)) * _ROW.itemsize).astype(np.int32)
             packed = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(r.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(stretch[first]), packed], names=["stretch", "packed"])
 
-    def batch(x, y, more, key=None, big=None):
-        n = len(x) if big is None else len(big)
-        none = pa.nulls(n, pa.int64())
-        if big is not None:
-            cols = [none, none, pa.nulls(n, pa.bool_()), pa.array(big["key"].astype(np.int64)), pa.array([v.tobytes() for v in big], pa.binary())]
-        else:
-            cols = [pa.array(x), pa.array(y), pa.array(more), none if key is None else pa.array(np.full(n, key, np.int64), mask=~more), pa.nulls(n, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["x", "y", "more", "key", "row"])
+    def later(r):
+        made = np.empty(len(r), _LATER)
+        for c in _ROW.names:
+            made[c] = r[c]
+        made["side"], made["after"] = 3, _NONE
+        return made
+
+    none = np.empty(0, np.int64)
 
-    def looked(r, large):
+    def large(r):
+        return _batch(none, none, [v for v in later(r)], r["key"].astype(np.int64) + 1)
+
+    def looked(r):
         """Partners in a whole stretch."""
         r = r[np.lexsort((r["id"], r["key"]))]
         first = np.flatnonzero(np.concatenate(([True], r["key"][1:] != r["key"][:-1])))
         size = np.diff(np.append(first, len(r)))
-        if not later:
-            for x, y in _small(r, first, size):
-                yield batch(x, y, np.zeros(len(x), bool))
+        again = []
+        for x, y, more in _small(r, first, size, limit):
+            yield _batch(r["id"][x], r["id"][y])
+            again.append(x[more])
+        again = np.unique(np.searchsorted(first, np.concatenate(again), side="right") - 1) if again else none
+        if len(again):
+            yield _batch(none, none, [later(r[first[g] : first[g] + size[g]]) for g in again.tolist()])
         for g in np.flatnonzero(size > CROWD).tolist():
             s = r[first[g] : first[g] + size[g]]
-            if later and (not s["ask"].any() or (s["label"] == s["label"][0]).all()):
-                continue
-            if len(s) > block:
-                yield batch(None, None, None, None, s)
-            else:
-                yield batch(*crowded(s[s["ask"] > 0] if later else s, s, limit), int(s["key"][0]))
+            yield large(s) if len(s) > block else _batch(*_again(later(s), limit))
 
     def scan(batches):
-        at, parts, n, room, large = None, [], 0, held, np.empty(0, np.uint32)
+        at, parts, n, room, known = None, [], 0, held, np.empty(0, np.uint32)
         for b in batches:
             for stretch, packed in zip(b.column("stretch").to_pylist(), b.column("packed"), strict=True):
                 if stretch != at:
                     if n:
-                        yield from looked(np.concatenate(parts), large)
-                    at, parts, n, room, large = stretch, [], 0, held, np.empty(0, np.uint32)
-                r = np.frombuffer(packed.as_buffer(), kind)
-                if len(large):
-                    known = np.isin(r["key"], large)
-                    yield batch(None, None, None, None, r[known])
-                    r = r[~known]
+                        yield from looked(np.concatenate(parts))
+                    at, parts, n, room, known = stretch, [], 0, held, np.empty(0, np.uint32)
+                r = np.frombuffer(packed.as_buffer(), _ROW)
+                if len(known):
+                    yield large(r[np.isin(r["key"], known)])
+                    r = r[~np.isin(r["key"], known)]
                 parts.append(r)
                 n += len(r)
                 if n > room:
                     r = np.concatenate(parts)
                     keys_, counts = np.unique(r["key"], return_counts=True)
-                    large = np.union1d(large, keys_[counts > block])
-                    known = np.isin(r["key"], large)
-                    yield batch(None, None, None, None, r[known])
-                    parts = [r[~known]]
+                    known = np.union1d(known, keys_[counts > block])
+                    yield large(r[np.isin(r["key"], known)])
+                    parts = [r[~np.isin(r["key"], known)]]
                     n = len(parts[0])
                     room = max(held, 2 * n)
         if n:
-            yield from looked(np.concatenate(parts), large)
-
-    columns = ["id", "print", "n", *(["ask", "label", "after"] if later else [])]
-    sent = rows.select(*columns).mapInArrow(emit, "stretch int, packed binary").repartition(tasks, "stretch").sortWithinPartitions("stretch")
-    found = durable(sent.mapInArrow(scan, "x long, y long, more boolean, key long, row binary"))
-    pairs = found.where("row IS NULL").select("x", "y", "more", "key")
-    big = found.where("row IS NOT NULL").select("key", "row")
-    if big.limit(1).count():
-        sizes = big.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
-        mine = F.pmod(F.xxhash64("row"), F.col("n")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-        both = big.join(sizes, "key")
-        asking = both.select("key", mine.alias("i"), other.alias("j"), "row", F.lit(True).alias("asks"))
-        telling = both.select("key", other.alias("i"), mine.alias("j"), "row", F.lit(False).alias("asks"))
-
-        def compare(table: pa.Table) -> pa.Table:
-            asks = np.array(table.column("asks").to_numpy())
-            r = np.frombuffer(b"".join(table.column("row").to_pylist()), kind)
-            a, t = (x[np.argsort(x["id"])] for x in (r[asks], r[~asks]))
-            x, y, more = crowded(a[a["ask"] > 0] if later else a, t, limit)
-            key = table.column("key").to_numpy()[:1].repeat(len(x))
-            return pa.table({"x": x, "y": y, "more": more, "key": pa.array(key, pa.int64(), mask=~more)})
-
-        pairs = pairs.unionByName(asking.unionByName(telling).groupBy("key", "i", "j").applyInArrow(compare, "x long, y long, more boolean, key long"))
-    return pairs.groupBy("x", "y").agg(F.max("more").alias("more"), F.collect_set("key").alias("keys"))
+            yield from looked(np.concatenate(parts))
+
+    sent = rows.select("id", "print", "n").mapInArrow(emit, "stretch int, packed binary").repartition(tasks, "stretch").sortWithinPartitions("stretch")
+    found = durable(sent.mapInArrow(scan, _FOUND))
+    big = found.where("key > 0").select("key", "rows")
+    if not big.limit(1).count():
+        return found
+    sizes = big.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+    mine = F.pmod(F.xxhash64("rows"), F.col("n")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    both = big.join(sizes, "key")
+    asking = both.select("key", mine.alias("i"), other.alias("j"), "rows", F.lit(1).alias("side"))
+    telling = both.select("key", other.alias("i"), mine.alias("j"), "rows", F.lit(2).alias("side"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(table.column("rows").to_pylist()), _LATER).copy()
+        r["side"] = table.column("side").to_numpy()
+        return pa.Table.from_batches([_batch(*_again(r[np.argsort(r["id"], kind="stable")], limit))])
+
+    tiles = asking.unionByName(telling).groupBy("key", "i", "j").applyInArrow(compare, _FOUND)
+    return found.where("key IS NULL OR key = 0").unionByName(tiles)
+
+
+def others(buckets: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """As :func:`partners`, for its packed buckets: the next ``limit`` partners of the rows that have more, without those that ``roots`` (node, component) has in one
+    component with them.
+
+    Up to ``FEW`` nodes go to all tasks. More are joined to the buckets' rows, and each bucket is put together again.
+    """
+    spark = buckets.sparkSession
+    unlabelled = buckets.select("key", "rows")
+
+    def labelled(node: np.ndarray, component: np.ndarray):
+        def label(ids: np.ndarray) -> np.ndarray:
+            if not len(node):
+                return ids
+            at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+            return np.where(node[at] == ids, component[at], ids)
+
+        return label
+
+    def looked(raw, node, component):
+        return _again(np.frombuffer(raw, _LATER), limit, labelled(node, component))
+
+    if roots.count() <= FEW:
+        t = roots.select("node", "component").toArrow()
+        node, component = (t.column(c).to_numpy() for c in ("node", "component"))
+        order = np.argsort(node)
+        sent = spark.sparkContext.broadcast((node[order], component[order]))
+
+        def again(batches):
+            for b in batches:
+                for raw in b.column("rows"):
+                    yield _batch(*looked(raw.as_buffer(), *sent.value))
+
+        return durable(unlabelled.mapInArrow(again, _FOUND))
+
+    def split(batches):
+        for b in batches:
+            for raw in b.column("rows"):
+                ids = np.unique(np.frombuffer(raw.as_buffer(), _LATER)["id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), hash_of(raw.as_buffer()), np.int64)), pa.array(ids)], names=["bucket", "id"])
+
+    def hash_of(raw) -> int:
+        return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+    # A bucket's name is a hash of its rows.
+    def named(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([hash_of(x.as_buffer()) for x in b.column("rows")], pa.int64()), b.column("rows")], names=["bucket", "rows"])
+
+    labels = unlabelled.mapInArrow(split, "bucket long, id long").join(roots, F.col("id") == F.col("node"))
+    labels = labels.select("bucket", "node", "component", F.lit(None).cast("binary").alias("rows"))
+    whole = unlabelled.mapInArrow(named, "bucket long, rows binary").select("bucket", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("component"), "rows")
+
+    def together(table: pa.Table) -> pa.Table:
+        raws = [r for r in table.column("rows").to_pylist() if r is not None]
+        here = table.filter(pa.compute.is_valid(table.column("node")))
+        node, component = (here.column(c).to_numpy() for c in ("node", "component"))
+        order = np.argsort(node, kind="stable")
+        made = [_batch(*looked(raw, node[order], component[order])) for raw in dict.fromkeys(raws)]
+        return pa.Table.from_batches(made) if made else pa.Table.from_batches([], schema=_batch(np.empty(0, np.int64), np.empty(0, np.int64)).schema)
+
+    return durable(labels.unionByName(whole).groupBy("bucket").applyInArrow(together, _FOUND))
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -505,13 +589,13 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int = 5, similarity: float = 0.8, limit: int = 4, block: int = 1 << 14) -> DataFrame:
+def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int = 5, similarity: float = 0.8, limit: int = 1, block: int = 1 << 14) -> DataFrame:
     """``df`` with one row of each group of near duplicates, the one with the smallest ``key``.
 
     Alike are texts whose sets of ``verify``-word shingles have a Jaccard similarity of at least ``similarity`` (at least 0.8, for which the reach of the keys
     is set); a group is what links of alike texts connect. Texts with equal sets (by a 128-bit hash) are one class. Classes whose wide fingerprints meet, see
-    :func:`wide_keys` and :func:`partners`, are candidates; sketches rule most of the others out, and the sets decide. In crowded buckets the rest of a row's
-    candidates comes in further rounds, without those that are in its group already, until all have been seen.
+    :func:`wide_keys` and :func:`partners`, are candidates; sketches rule most of the others out, and the sets decide. A row's first candidate of
+    each bucket comes first; the others come in further rounds, without those that are in its group by then, until all have been seen.
     Texts without a word (null, empty) are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are one, whichever stays.
     """
     if similarity < 0.8:
@@ -570,22 +654,17 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int
         forget(sets)
         return out
 
-    links_, state, keys_ = None, classes, None
+    links_, found = None, partners(classes, limit, block)
     while True:
-        found = durable(partners(state, limit, block, only_keys=keys_))
-        new = alike(found)
+        pairs = durable(found.where("x IS NOT NULL").select("x", "y").distinct())
+        new = alike(pairs if links_ is None else pairs.join(links_, ["x", "y"], "left_anti"))
         links_ = new if links_ is None else links_.unionByName(new)
-        roots = components(links_, "x", "y")
-        asks = durable(found.where("more").groupBy(F.col("x").alias("_x")).agg(F.min("y").alias("_after")))
-        if not asks.limit(1).count():
+        roots = durable(components(links_, "x", "y"))
+        buckets = found.where("rows IS NOT NULL")
+        if not buckets.limit(1).count():
             break
         limit *= 8
-        # The keys that matter go along as one array if they are few; else all rows are sent again.
-        crowds = found.where("more").select(F.explode("keys").alias("key")).distinct().limit(FEW + 1)
-        keys_ = np.array(sorted(r.key for r in crowds.collect()), np.uint32)  # FEW + 1 numbers at most
-        keys_ = None if len(keys_) > FEW else keys_
-        state = classes.join(roots, F.col("id") == F.col("node"), "left").join(asks, F.col("id") == F.col("_x"), "left")
-        state = state.select("id", "print", "n", F.col("_x").isNotNull().cast("byte").alias("ask"), F.coalesce("component", "id").alias("label"), F.coalesce("_after", F.lit(0)).alias("after"))
+        found = others(buckets, roots, limit)
     led = made.select("_doc", "_turn", "id").join(roots, F.col("id") == F.col("node"), "left").select("_doc", "_turn", F.coalesce("component", "id").alias("_root"))
     led = durable(led)
     kept = led.groupBy("_root").agg(F.min(F.struct("_doc", "_turn")).alias("_kept")).select(F.col("_root").alias("_of"), "_kept")

@@ -222,20 +222,35 @@ def test_partners_are_all_pairs_within_eleven_bits(spark):
     df = spark.createDataFrame(rows, "id long, print binary, n int").repartition(3)
     bits = {i: int.from_bytes(bytes(p), "big") for i, p, _ in rows}
     near = {(a, b) for a in bits for b in bits if b < a and (bits[a] ^ bits[b]).bit_count() <= 11}
+    none = spark.createDataFrame([], "node long, component long")
     for block, held in ((1 << 14, 1 << 21), (80, 300)):  # the second sends crowded keys on block by block
-        got = {(r.x, r.y) for r in simhash.partners(df, 1 << 30, block, held).collect()}
-        assert near <= got and all(a > b for a, b in got)
-        first = simhash.partners(df, 2, block, held).collect()
-        assert {(r.x, r.y) for r in first} < got and any(r.more for r in first)
-
-
-def test_later_rounds_look_at_other_labels_only(spark):
+        found = simhash.partners(df, 1 << 30, block, held)
+        got = {(r.x, r.y) for r in found.where("x is not null").collect()}
+        assert near <= got and all(a > b for a, b in got) and not found.where("rows is not null").count()
+        found, first, limit = simhash.partners(df, 2, block, held), set(), 2
+        while True:
+            before = len(first)
+            first |= {(r.x, r.y) for r in found.where("x is not null").collect()}
+            assert first <= got and len(first) > before
+            if not found.where("rows is not null").count():
+                break
+            limit *= 8
+            found = simhash.others(found.where("rows is not null"), none, limit)
+        assert first == got
+
+
+def test_later_rounds_look_at_other_labels_only(spark, monkeypatch):
     rows = prints_of(300, 14, True)
     ids = sorted(i for i, *_ in rows)
     label = {i: min(ids) if i % 2 else i for i in ids}
-    df = spark.createDataFrame([(*r, 1, label[r[0]], -50) for r in rows], "id long, print binary, n int, ask byte, label long, after long")
-    got = {(r.x, r.y) for r in simhash.partners(df, 1 << 30).collect()}
-    assert got and all(label[a] != label[b] and b > -50 for a, b in got)
+    roots = spark.createDataFrame([(i, c) for i, c in label.items() if i % 2], "node long, component long")
+    found = simhash.partners(spark.createDataFrame(rows, "id long, print binary, n int"), 1, 80, 300)
+    first = {(r.x, r.y) for r in found.where("x is not null").collect()}
+    both = []
+    for few in (simhash.FEW, 0):  # labels in a broadcast, or joined
+        monkeypatch.setattr(simhash, "FEW", few)
+        both.append({(r.x, r.y) for r in simhash.others(found.where("rows is not null"), roots, 1 << 30).where("x is not null").collect()})
+    assert both[0] == both[1] and both[0] and all(label[a] != label[b] for a, b in both[0]) and both[0] - first
 
 
 def test_edited_copies_and_chains_leave_one(spark):
