@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from quillvec.llm import simhash
@@ -273,3 +275,25 @@ def test_edited_copies_and_chains_leave_one(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for limit, block in ((4, 1 << 14), (1, 70)):
         assert sorted(r.doc_id for r in simhash.distinct(df, limit=limit, block=block).collect()) == sorted(set(label))
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_distinct_against_all_pairs(spark):
+    """The documents of a whole table: one of each group that all pairs with a similarity of 0.8 connect."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    sets = [simhash.shingles(t) for _, t in rows]
+    label = np.arange(len(rows))
+    for i, u in enumerate(sets):
+        for j in range(i):
+            v = sets[j]
+            if 0.8 * max(len(u), len(v)) <= min(len(u), len(v)):
+                common = len(np.intersect1d(u, v, assume_unique=True)) if len(u) else 0
+                if common >= 0.8 * (len(u) + len(v) - common):
+                    a, b = label[i], label[j]
+                    label[(label == a) | (label == b)] = min(a, b)
+    want = sorted({rows[i][0] for i in label})
+    assert len(want) < len(rows) and sorted(r.doc_id for r in simhash.distinct(docs.repartition(4)).collect()) == want
