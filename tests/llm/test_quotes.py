@@ -65,3 +65,69 @@ def test_long_conversation_and_common_words(spark):
 
 def test_empty(spark):
     assert quotes.thread(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def plain_thread(rows):
+    """Replies, roots and depths by the rules, one message after the other."""
+    import re
+
+    messages = dict(sorted(((c, t), x) for c, t, x in rows))
+    parts = {}
+    for at, text in messages.items():
+        found, run, before = [], [], None
+        for line in [*text.split("\n"), ""]:
+            mark = re.match(r"[ \t]{0,3}(?:>[ \t]?)+", line)
+            level, words = (mark.group().count(">"), line[mark.end() :]) if mark else (0, line)
+            words = " ".join(words.split()).lower()
+            if run and (level != before or not words):
+                found.append((before, " ".join(run), len(run)))
+                run = []
+            if words:
+                run.append(words)
+                found.append((level, words, 1))
+            before = level
+        parts[at] = set(found)
+    out = {}
+    for (c, t), found in parts.items():
+        votes, quoted, linked = {}, set(), set()
+        for level, words, _ in sorted(p for p in found if p[0] > 0):
+            quoted.add(words)
+            near = [u for (d, u), ps in parts.items() if d == c and u < t and any(p[:2] == (0, words) for p in ps)]
+            first = [at for at, ps in parts.items() if any(p[:2] == (0, words) for p in ps)]
+            to = (c, max(near)) if near else first[0] if first and first[0][0] < c else None
+            if to:
+                linked.add(words)
+                if level == 1:
+                    votes[to] = votes.get(to, 0) + len(words)
+        to = max(votes, key=lambda x: (votes[x], x[1], x[0])) if votes else (c, t - 1) if (c, t - 1) in messages else None
+        out[c, t] = (to, len(quoted), len(linked))
+    made = {}
+    for at, (to, n, m) in out.items():
+        root, depth = at, 0
+        while out[root][0]:
+            root, depth = out[root][0], depth + 1
+        made[at] = (to, root, depth, n, m)
+    return made
+
+
+def test_against_the_rules_one_by_one(spark):
+    import random
+
+    random.seed(23)
+    stock = [f"{random.choice('the a my our'.split())} {a} {b} {i}" for i, (a, b) in enumerate([(random.choice("cat dog house tree".split()), random.choice("runs sleeps burns grows".split())) for _ in range(60)])]
+    rows, said = [], []
+    for c in range(1, 7):
+        for t in range(12):
+            own = random.sample(stock, random.randint(1, 4))
+            lines = []
+            if said and random.random() < 0.6:
+                _, _, quoted = random.choice(said[-30:])
+                a = random.randrange(len(quoted))
+                lines += [random.choice(["> ", ">", ">> ", " > > "]) + q for q in quoted[a : a + random.randint(1, 3)]] + [random.choice(["", "> not said before"])]
+            lines += own
+            rows.append((c, t, "\n".join(lines)))
+            said.append((c, t, own))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(r.conv_id, r.turn): ((r.reply_conv, r.reply_turn) if r.reply_turn is not None else None, (r.root_conv, r.root_turn), r.depth, r.n_quoted, r.n_linked) for r in quotes.thread(df).collect()}
+    want = plain_thread(rows)
+    assert sum(v[4] > 0 for v in want.values()) > 15 and got == want
