@@ -281,9 +281,9 @@ CROWD = 64  # rows up to which a bucket's pairs are all looked at
 STEPS, APART = 16, 6
 SKETCH = 128  # counts of a sketch
 _ROW = np.dtype([("key", "<u4"), ("id", "<i8"), ("rest", "<u8"), ("size", "u1")])
-#: A row of a bucket that is looked at again: whether it asks (1) and is told of (2), and the last partner that it has got.
-_LATER = np.dtype([*_ROW.descr, ("side", "u1"), ("after", "<i8")])
-_NONE = -(1 << 63)
+#: A row of a bucket that is looked at again: whether it asks (1) and is told of (2).
+_LATER = np.dtype([*_ROW.descr, ("side", "u1")])
+TILE = 1024  # rows of a group that meet in one task, on either side
 
 
 class _Digests(dict):
@@ -352,11 +352,9 @@ def _small(rows: np.ndarray, first: np.ndarray, size: np.ndarray, limit: int) ->
             yield x[use], y[use], more[use]
 
 
-def crowded(ask: np.ndarray, tell: np.ndarray, limit: int, labels: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of rows of ``ask`` and of their first ``limit`` partners in ``tell``: within reach, with a smaller id, after the last one that they got, and with another
-    label if there are some; and which rows have more. Both come by id."""
-    mine, theirs = labels if labels else (None, None)
-    out, more = [], np.zeros(len(ask), bool)
+def crowded(ask: np.ndarray, tell: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of rows of ``ask`` and of their first ``limit`` partners in ``tell``: within reach, with a smaller id; and whether any row has more. Both come by id."""
+    out, more = [], False
     for at in range(0, len(ask), 256):
         block = ask[at : at + 256]
         found, open_ = np.zeros(len(block), np.int64), np.arange(len(block))
@@ -364,22 +362,22 @@ def crowded(ask: np.ndarray, tell: np.ndarray, limit: int, labels: tuple[np.ndar
             a, t = block[open_], tell[to : to + 2048]
             if not len(a) or t["id"][0] >= a["id"].max():
                 break
-            hit = np.bitwise_count(a["rest"][:, None] ^ t["rest"][None]) <= FAR
-            hit &= (t["id"][None] < a["id"][:, None]) & (t["id"][None] > a["after"][:, None])
-            hit &= np.abs(a["size"][:, None].astype(np.int16) - t["size"][None]) <= APART
-            if labels:
-                hit &= theirs[None, to : to + 2048] != mine[at : at + 256][open_, None]
+            hit = _near(a, t) & (t["id"][None] < a["id"][:, None])
             turn = found[open_][:, None] + np.cumsum(hit, axis=1)
             x, y = np.nonzero(hit & (turn <= limit))
             out.append((at + open_[x], to + y))
             found[open_] = turn[:, -1]
             open_ = open_[found[open_] <= limit]
-        more[at : at + 256] = found > limit
+        more = more or bool((found > limit).any())
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), more
     x, y = (np.concatenate(z) for z in zip(*out, strict=True))
-    order = np.lexsort((y, x))
-    return x[order], y[order], more
+    return x, y, more
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two lists are within reach of each other."""
+    return (np.bitwise_count(a["rest"][:, None] ^ b["rest"][None]) <= FAR) & (np.abs(a["size"][:, None].astype(np.int16) - b["size"][None]) <= APART)
 
 
 def _batch(x: np.ndarray, y: np.ndarray, buckets: list[np.ndarray] = (), key: np.ndarray | None = None) -> pa.RecordBatch:
@@ -394,31 +392,18 @@ def _batch(x: np.ndarray, y: np.ndarray, buckets: list[np.ndarray] = (), key: np
 _FOUND = "x long, y long, key long, rows binary"
 
 
-def _again(r: np.ndarray, limit: int, labels=None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Pairs (ids) of one bucket, and the bucket if some of its rows have more."""
-    asks, tells = np.flatnonzero(r["side"] & 1), np.flatnonzero(r["side"] & 2)
-    known = None
-    if labels is not None:
-        label = labels(r["id"])
-        if (label == label[0]).all():
-            return np.empty(0, np.int64), np.empty(0, np.int64), []
-        known = label[asks], label[tells]
-    x, y, more = crowded(r[asks], r[tells], limit, known)
-    ids = r["id"][asks][x], r["id"][tells][y]
-    if not more.any():
-        return *ids, []
-    r = r.copy()
-    last = np.flatnonzero(np.concatenate((x[1:] != x[:-1], [True])) if len(x) else np.empty(0, bool))
-    r["after"][asks[x[last]]] = ids[1][last]
-    r["side"][asks[~more]] &= 2
-    return *ids, [r]
+def _first(r: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First pairs (ids) of one bucket, and the bucket if some of its rows have more."""
+    ask, tell = r[r["side"] & 1 > 0], r[r["side"] & 2 > 0]
+    x, y, more = crowded(ask, tell, limit)
+    return ask["id"][x], tell["id"][y], [r] if more else []
 
 
 def partners(rows: DataFrame, limit: int = 1, block: int = 1 << 14, held: int = 1 << 21) -> DataFrame:
     """Pairs (x, y) of ids of rows whose wide fingerprints meet under a key and are within reach, y the smaller; and packed buckets (key, rows).
 
     ``rows`` has id (no two alike), print and n (the size of the set). A row gets its ``limit`` first partners of each bucket; buckets in which a row has more come
-    along, for :func:`others`.
+    along, for :func:`reaches`.
 
     Each task of the first step sends what belongs to one stretch of keys as one packed row. A task of the second holds a stretch, about ``held`` rows of it at
     most: rows of a key with more than ``block`` are passed on and compared block by block, each pair of blocks as a bucket in a task of its own.
@@ -451,7 +436,7 @@ def partners(rows: DataFrame, limit: int = 1, block: int = 1 << 14, held: int =
         made = np.empty(len(r), _LATER)
         for c in _ROW.names:
             made[c] = r[c]
-        made["side"], made["after"] = 3, _NONE
+        made["side"] = 3
         return made
 
     none = np.empty(0, np.int64)
@@ -473,7 +458,7 @@ def partners(rows: DataFrame, limit: int = 1, block: int = 1 << 14, held: int =
             yield _batch(none, none, [later(r[first[g] : first[g] + size[g]]) for g in again.tolist()])
         for g in np.flatnonzero(size > CROWD).tolist():
             s = r[first[g] : first[g] + size[g]]
-            yield large(s) if len(s) > block else _batch(*_again(later(s), limit))
+            yield large(s) if len(s) > block else _batch(*_first(later(s), limit))
 
     def scan(batches):
         at, parts, n, room, known = None, [], 0, held, np.empty(0, np.uint32)
@@ -515,73 +500,48 @@ def partners(rows: DataFrame, limit: int = 1, block: int = 1 << 14, held: int =
     def compare(table: pa.Table) -> pa.Table:
         r = np.frombuffer(b"".join(table.column("rows").to_pylist()), _LATER).copy()
         r["side"] = table.column("side").to_numpy()
-        return pa.Table.from_batches([_batch(*_again(r[np.argsort(r["id"], kind="stable")], limit))])
+        return pa.Table.from_batches([_batch(*_first(r[np.argsort(r["id"], kind="stable")], limit))])
 
     tiles = asking.unionByName(telling).groupBy("key", "i", "j").applyInArrow(compare, _FOUND)
     return found.where("key IS NULL OR key = 0").unionByName(tiles)
 
 
-def others(buckets: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
-    """As :func:`partners`, for its packed buckets: the next ``limit`` partners of the rows that have more, without those that ``roots`` (node, component) has in one
-    component with them.
-
-    Up to ``FEW`` nodes go to all tasks. More are joined to the buckets' rows, and each bucket is put together again.
-    """
-    spark = buckets.sparkSession
-    unlabelled = buckets.select("key", "rows")
-
-    def labelled(node: np.ndarray, component: np.ndarray):
-        def label(ids: np.ndarray) -> np.ndarray:
-            if not len(node):
-                return ids
-            at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
-            return np.where(node[at] == ids, component[at], ids)
-
-        return label
-
-    def looked(raw, node, component):
-        return _again(np.frombuffer(raw, _LATER), limit, labelled(node, component))
-
+def reaches(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components (node, component) of what is within reach in packed buckets of :func:`partners`, but for buckets that lie in one component of ``roots`` (node,
+    component) as a whole, if ``roots`` has at most ``FEW`` nodes, which go to all tasks then."""
+    sent = None
     if roots.count() <= FEW:
         t = roots.select("node", "component").toArrow()
         node, component = (t.column(c).to_numpy() for c in ("node", "component"))
         order = np.argsort(node)
-        sent = spark.sparkContext.broadcast((node[order], component[order]))
+        sent = buckets.sparkSession.sparkContext.broadcast((node[order], component[order]))
 
-        def again(batches):
-            for b in batches:
-                for raw in b.column("rows"):
-                    yield _batch(*looked(raw.as_buffer(), *sent.value))
+    def settled(ids: np.ndarray) -> bool:
+        if sent is None or not len(sent.value[0]):
+            return False
+        node, component = sent.value
+        at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+        return bool((node[at] == ids).all() and (component[at] == component[at[0]]).all())
 
-        return durable(unlabelled.mapInArrow(again, _FOUND))
-
-    def split(batches):
+    def stars(batches):
         for b in batches:
+            made = []
             for raw in b.column("rows"):
-                ids = np.unique(np.frombuffer(raw.as_buffer(), _LATER)["id"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), hash_of(raw.as_buffer()), np.int64)), pa.array(ids)], names=["bucket", "id"])
-
-    def hash_of(raw) -> int:
-        return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-
-    # A bucket's name is a hash of its rows.
-    def named(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([hash_of(x.as_buffer()) for x in b.column("rows")], pa.int64()), b.column("rows")], names=["bucket", "rows"])
-
-    labels = unlabelled.mapInArrow(split, "bucket long, id long").join(roots, F.col("id") == F.col("node"))
-    labels = labels.select("bucket", "node", "component", F.lit(None).cast("binary").alias("rows"))
-    whole = unlabelled.mapInArrow(named, "bucket long, rows binary").select("bucket", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("component"), "rows")
-
-    def together(table: pa.Table) -> pa.Table:
-        raws = [r for r in table.column("rows").to_pylist() if r is not None]
-        here = table.filter(pa.compute.is_valid(table.column("node")))
-        node, component = (here.column(c).to_numpy() for c in ("node", "component"))
-        order = np.argsort(node, kind="stable")
-        made = [_batch(*looked(raw, node[order], component[order])) for raw in dict.fromkeys(raws)]
-        return pa.Table.from_batches(made) if made else pa.Table.from_batches([], schema=_batch(np.empty(0, np.int64), np.empty(0, np.int64)).schema)
+                r = np.frombuffer(raw.as_buffer(), _LATER)
+                if settled(r["id"]):
+                    continue
+                labels = np.arange(len(r))
+                step = max(1, (1 << 21) // len(r))
+                for at in range(0, len(r), step):
+                    x, y = np.nonzero(_near(r[at : at + step], r))
+                    labels = settle(len(r), at + x, y, labels)
+                other = np.flatnonzero(r["id"] != r["id"][labels])
+                made.append(np.stack([r["id"][other], r["id"][labels[other]]]))
+            if made:
+                u, v = np.unique(np.concatenate(made, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return durable(labels.unionByName(whole).groupBy("bucket").applyInArrow(together, _FOUND))
+    return durable(components(buckets.select("rows").mapInArrow(stars, "u long, v long"), "u", "v"))
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -589,13 +549,22 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
+def _alike(u: np.ndarray, v: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes have at least this Jaccard similarity."""
+    if min(len(u), len(v)) < similarity * max(len(u), len(v)):
+        return False
+    common = len(np.intersect1d(u, v, assume_unique=True))
+    return common >= similarity * (len(u) + len(v) - common)
+
+
 def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int = 5, similarity: float = 0.8, limit: int = 1, block: int = 1 << 14) -> DataFrame:
     """``df`` with one row of each group of near duplicates, the one with the smallest ``key``.
 
     Alike are texts whose sets of ``verify``-word shingles have a Jaccard similarity of at least ``similarity`` (at least 0.8, for which the reach of the keys
     is set); a group is what links of alike texts connect. Texts with equal sets (by a 128-bit hash) are one class. Classes whose wide fingerprints meet, see
-    :func:`wide_keys` and :func:`partners`, are candidates; sketches rule most of the others out, and the sets decide. A row's first candidate of
-    each bucket comes first; the others come in further rounds, without those that are in its group by then, until all have been seen.
+    :func:`wide_keys` and :func:`partners`, are candidates; sketches rule most of the others out, and the sets decide. A row's first
+    candidate of each bucket comes first. Then what is within reach of each other in buckets with more candidates, and not all in one group by then, meets all against all,
+    in blocks of ``TILE`` rows.
     Texts without a word (null, empty) are equal. Rows of one key are told apart by text; a null key comes first. Rows that are alike in both are one, whichever stays.
     """
     if similarity < 0.8:
@@ -634,11 +603,7 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int
 
     def compared(batches):
         for b in bpe.small(batches):
-            near = []
-            for x, y in zip(b.column("set").to_pylist(), b.column("other").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                near.append(common >= similarity * (len(u) + len(v) - common))
+            near = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b.column("set").to_pylist(), b.column("other").to_pylist(), strict=True)]
             yield b.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -654,17 +619,65 @@ def distinct(df: DataFrame, key: str = "doc_id", text: str = "text", verify: int
         forget(sets)
         return out
 
-    links_, found = None, partners(classes, limit, block)
-    while True:
-        pairs = durable(found.where("x IS NOT NULL").select("x", "y").distinct())
-        new = alike(pairs if links_ is None else pairs.join(links_, ["x", "y"], "left_anti"))
-        links_ = new if links_ is None else links_.unionByName(new)
+    def met(table: pa.Table) -> pa.Table:
+        """Links of the rows of a tile that join what has different labels."""
+        table = table.sort_by("id")
+        ids, label, side = (table.column(c).to_numpy() for c in ("id", "label", "mine"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        n, sketches = np.array([len(x) for x in sets]), np.frombuffer(b"".join(map(sketch, sets)), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        cross = (side != side[0]).any()
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while v in root:
+                v = root[v]
+            return v
+
+        out = []
+        for at in range(1, len(ids), 32):
+            x = slice(at, at + 32)
+            may = (label[x, None] != label[None, : at + 31]) & (np.arange(len(ids))[x, None] > np.arange(len(ids))[None, : at + 31])
+            if cross:
+                may &= side[x, None] != side[None, : at + 31]
+            i, j = np.nonzero(may)
+            i += at
+            apart = [np.abs(sketches[i[k : k + 8192]] - sketches[j[k : k + 8192]]).sum(axis=1) for k in range(0, len(i), 8192)]
+            like = np.flatnonzero(np.concatenate(apart) <= share * (n[i] + n[j]) + 1e-6) if apart else np.empty(0, np.int64)
+            for u, v in zip(i[like].tolist(), j[like].tolist(), strict=True):
+                a, b = find(int(label[u])), find(int(label[v]))
+                if a != b and _alike(sets[u], sets[v], similarity):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[u]), int(ids[v])))
+        return pa.table({"x": pa.array([u for u, _ in out], pa.int64()), "y": pa.array([v for _, v in out], pa.int64())})
+
+    def rest(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between the components of ``roots`` within what is in reach of each other in crowded buckets: all against all, block by block."""
+        near = reaches(buckets, roots).select(F.col("node").alias("id"), F.col("component").alias("reach"))
+        known = roots.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        label = durable(near.join(known, F.col("id") == F.col("_n"), "left").select("id", "reach", F.coalesce("_c", "id").alias("label")))
+        sizes = label.groupBy("reach").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("blocks"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high")
+        who = label.join(sizes.select("reach", "blocks"), "reach").join(classes.select("id", F.col("_doc").alias("_d"), F.col("_turn").alias("_t")), "id")
+        who = durable(who)
+        held = few(texts, who, (F.col("_doc") == F.col("_d")) & (F.col("_turn") == F.col("_t")))
+        mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        names_ = ["id", "reach", "label", "blocks"]
+
+        def with_sets(batches):
+            for b in bpe.small(batches, 128):
+                sets = [shingles(x, verify).tobytes() for x in bpe.texts_of(b.column("_text"))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names_), pa.array(sets, pa.binary())], names=[*names_, "set"])
+
+        sets = held.select(*names_, "_text").mapInArrow(with_sets, "id long, reach long, label long, blocks int, set binary").withColumn("mine", mine)
+        tiles = sets.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "reach", "label", "set", "mine", F.least("mine", "_k").alias("i"), F.greatest("mine", "_k").alias("j"))
+        return durable(tiles.groupBy("reach", "i", "j").applyInArrow(met, "x long, y long"))
+
+    found = partners(classes, limit, block)
+    links_ = alike(durable(found.where("x IS NOT NULL").select("x", "y").distinct()))
+    roots = durable(components(links_, "x", "y"))
+    buckets = found.where("rows IS NOT NULL").select("rows")
+    if buckets.limit(1).count():
+        links_ = links_.unionByName(rest(buckets, roots))
         roots = durable(components(links_, "x", "y"))
-        buckets = found.where("rows IS NOT NULL")
-        if not buckets.limit(1).count():
-            break
-        limit *= 8
-        found = others(buckets, roots, limit)
     led = made.select("_doc", "_turn", "id").join(roots, F.col("id") == F.col("node"), "left").select("_doc", "_turn", F.coalesce("component", "id").alias("_root"))
     led = durable(led)
     kept = led.groupBy("_root").agg(F.min(F.struct("_doc", "_turn")).alias("_kept")).select(F.col("_root").alias("_of"), "_kept")

@@ -224,38 +224,29 @@ def test_partners_are_all_pairs_within_eleven_bits(spark):
     df = spark.createDataFrame(rows, "id long, print binary, n int").repartition(3)
     bits = {i: int.from_bytes(bytes(p), "big") for i, p, _ in rows}
     near = {(a, b) for a in bits for b in bits if b < a and (bits[a] ^ bits[b]).bit_count() <= 11}
-    none = spark.createDataFrame([], "node long, component long")
     for block, held in ((1 << 14, 1 << 21), (80, 300)):  # the second sends crowded keys on block by block
         found = simhash.partners(df, 1 << 30, block, held)
         got = {(r.x, r.y) for r in found.where("x is not null").collect()}
         assert near <= got and all(a > b for a, b in got) and not found.where("rows is not null").count()
-        found, first, limit = simhash.partners(df, 2, block, held), set(), 2
-        while True:
-            before = len(first)
-            first |= {(r.x, r.y) for r in found.where("x is not null").collect()}
-            assert first <= got and len(first) > before
-            if not found.where("rows is not null").count():
-                break
-            limit *= 8
-            found = simhash.others(found.where("rows is not null"), none, limit)
-        assert first == got
-
-
-def test_later_rounds_look_at_other_labels_only(spark, monkeypatch):
+        found = simhash.partners(df, 1, block, held)
+        first = {(r.x, r.y) for r in found.where("x is not null").collect()}
+        assert first < got
+        # What first partners leave out is in reach of each other in some packed bucket.
+        none = spark.createDataFrame([], "node long, component long")
+        of = {r.node: r.component for r in simhash.reaches(found.where("rows is not null"), none).collect()}
+        assert all(of.get(a, a) == of.get(b, b) for a, b in near - first)
+
+
+def test_buckets_of_one_group_are_not_looked_at_again(spark, monkeypatch):
     rows = prints_of(300, 14, True)
-    ids = sorted(i for i, *_ in rows)
-    label = {i: min(ids) if i % 2 else i for i in ids}
-    roots = spark.createDataFrame([(i, c) for i, c in label.items() if i % 2], "node long, component long")
-    found = simhash.partners(spark.createDataFrame(rows, "id long, print binary, n int"), 1, 80, 300)
-    first = {(r.x, r.y) for r in found.where("x is not null").collect()}
-    both = []
-    for few in (simhash.FEW, 0):  # labels in a broadcast, or joined
-        monkeypatch.setattr(simhash, "FEW", few)
-        both.append({(r.x, r.y) for r in simhash.others(found.where("rows is not null"), roots, 1 << 30).where("x is not null").collect()})
-    assert both[0] == both[1] and both[0] and all(label[a] != label[b] for a, b in both[0]) and both[0] - first
-
-
-def test_edited_copies_and_chains_leave_one(spark):
+    found = simhash.partners(spark.createDataFrame(rows, "id long, print binary, n int"), 1).where("rows is not null")
+    one = spark.createDataFrame([(i, -400) for i, *_ in rows], "node long, component long")
+    assert found.count() and simhash.reaches(found, one).count() == 0
+    monkeypatch.setattr(simhash, "FEW", 0)
+    assert simhash.reaches(found, one).count() > 0
+
+
+def test_edited_copies_and_chains_leave_one(spark, monkeypatch):
     """Forty texts of which each has another one with a similarity of 0.8; a crowd beyond the limits of the first round."""
     random.seed(15)
     words = [f"w{random.randint(0, 10**6)}" for _ in range(400)]
@@ -273,7 +264,8 @@ def test_edited_copies_and_chains_leave_one(spark):
                 a, b = label[i], label[j]
                 label = [min(a, b) if v in (a, b) else v for v in label]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for limit, block in ((4, 1 << 14), (1, 70)):
+    for limit, block, tile in ((4, 1 << 14, 1024), (1, 70, 16)):
+        monkeypatch.setattr(simhash, "TILE", tile)
         assert sorted(r.doc_id for r in simhash.distinct(df, limit=limit, block=block).collect()) == sorted(set(label))
 
 
