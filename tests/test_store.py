@@ -154,3 +154,13 @@ def test_numbers_follow_the_order(spark, monkeypatch):
         assert [o for _, o in sorted(found)] == sorted(o for _, o in found)
     got, total = numbered(rows.limit(0), "o", rows.limit(0))
     assert total == 0 and got.collect() == []
+
+
+def test_batches_of_queries(spark, tmp_path):
+    store = VectorStore(spark, f"{tmp_path}/a", 2)
+    store.add(batch(spark, [(i, [1.0, 0.01 * i] if i % 2 else [0.01 * i, 1.0], None) for i in range(40)]), order="o")
+    asked = spark.createDataFrame([(7, [1.0, 0.05]), (8, [0.0, 3.0])], "query_id long, vector array<double>")
+    for clustered, one in ((False, store.search), (True, store.search_clustered)):
+        got = {(r.query_id, r.rank): r.id for r in store.search_batch(asked, 3, clustered).collect()}
+        assert got == {(q, i + 1): r.id for q, v in ((7, [1.0, 0.05]), (8, [0.0, 3.0])) for i, r in enumerate(one(v, 3).collect())}
+    assert not store.stale
