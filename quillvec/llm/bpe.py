@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 from .common import only
 
 #: Distinct strings whose encoding a worker keeps, in two generations: when the young one is full it becomes the old one. Longer ones are not kept.
-WORDS_KEPT, LONGEST_KEPT = 150_000, 40
+WORDS_KEPT, LONGEST_KEPT = 800_000, 40
 ARCS_KEPT = 1 << 18  # transitions in a worker's table
 _LONG = 64  # symbols of words that are walked alone
 # The pre-splitting pattern of such files, for texts of Latin-1 characters in lower case, where it can be said without Unicode classes.
@@ -281,28 +281,25 @@ class _Kept:
     def __init__(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.passing: list[str] = []  # long ones, which the next call drops
 
     def take(self, strings: set[str], make) -> dict[str, bytes]:
-        """The encodings of some strings; those that are not kept are made by ``make`` (of a list), all at once."""
-        out, young, old = {}, self.young, self.old
-        missing = []
-        for x in strings:
-            ids = young.get(x)
-            if ids is None:
-                ids = old.get(x)
-                if ids is None:
-                    missing.append(x)
-                    continue
+        """A map that has the encodings of some strings until the next call; those that are not kept are made by ``make`` (of a list), all at once."""
+        for x in self.passing:
+            del self.young[x]
+        if len(self.young) >= WORDS_KEPT // 2:
+            self.young, self.old = {}, self.young
+        young, old, fresh = self.young, self.old, []
+        for x in strings.difference(young):
+            if (ids := old.get(x)) is None:
+                fresh.append(x)
+            else:
                 young[x] = ids
-            out[x] = ids
-        for at in range(0, len(missing), 1 << 14):
-            some = missing[at : at + (1 << 14)]
-            made = dict(zip(some, make(some), strict=True))
-            out |= made
-            young |= {x: ids for x, ids in made.items() if len(x) <= LONGEST_KEPT}
-        if len(young) >= WORDS_KEPT // 2:
-            self.young, self.old = {}, young
-        return out
+        for at in range(0, len(fresh), 1 << 14):
+            some = fresh[at : at + (1 << 14)]
+            young.update(zip(some, make(some), strict=True))
+        self.passing = [x for x in fresh if len(x) > LONGEST_KEPT]
+        return young
 
 
 class Codec:
