@@ -523,9 +523,17 @@ def reaches(buckets: DataFrame, roots: DataFrame) -> DataFrame:
         at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
         return bool((node[at] == ids).all() and (component[at] == component[at[0]]).all())
 
+    def forest(made: list[np.ndarray]) -> np.ndarray:
+        """Edges that connect what the given ones connect, one for each node at most."""
+        edges = np.concatenate(made, axis=1)
+        ids, at = np.unique(edges, return_inverse=True)
+        labels = settle(len(ids), *at.reshape(2, -1))
+        other = np.flatnonzero(labels != np.arange(len(ids)))
+        return np.stack([ids[other], ids[labels[other]]])
+
     def stars(batches):
+        made, n = [np.empty((2, 0), np.int64)], 0
         for b in batches:
-            made = []
             for raw in b.column("rows"):
                 r = np.frombuffer(raw.as_buffer(), _LATER)
                 if settled(r["id"]):
@@ -537,9 +545,14 @@ def reaches(buckets: DataFrame, roots: DataFrame) -> DataFrame:
                     labels = settle(len(r), at + x, y, labels)
                 other = np.flatnonzero(r["id"] != r["id"][labels])
                 made.append(np.stack([r["id"][other], r["id"][labels[other]]]))
-            if made:
-                u, v = np.unique(np.concatenate(made, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                n += len(other)
+                if n > 1 << 20:
+                    made = [forest(made)]
+                    n = made[0].shape[1]
+                    if n > 1 << 19:  # what is connected further on stays connected by later edges
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made[0]], names=["u", "v"])
+                        made, n = [np.empty((2, 0), np.int64)], 0
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(made)], names=["u", "v"])
 
     return durable(components(buckets.select("rows").mapInArrow(stars, "u long, v long"), "u", "v"))
 
