@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -22,6 +24,7 @@ from quillvec.functions.text import words
 
 TOKENS = ArrayType(StructType([StructField("key", StringType()), StructField("id", IntegerType())]))
 WORDS_KEPT = 200_000  # words whose pieces a worker keeps
+PART_BYTES = 1 << 20  # of texts that a worker tokenises at once, or one text
 _SPLIT = re.compile("[^ \t\n\x0b\x0c\r]+")
 
 
@@ -132,13 +135,10 @@ class TokenizerModel:
         held = SparkSession.getActiveSession().sparkContext.broadcast(self.spec())  # the vocabulary, once per executor
 
         @F.arrow_udf(TOKENS)
-        def run(texts: pa.Array) -> pa.Array:
-            its = pieces_of(held.value)
-            at, ends = its.places(texts)
-            tokens = pa.StructArray.from_arrays([its.keys.take(pa.array(at)), its.ids.take(pa.array(at))], names=["key", "id"])
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from pieces_of(held.value).tokens(batches)
 
-        return run(text)
+        return once(run)(text)
 
     def spec(self) -> str:
         return json.dumps([self.kind, self.prefix, self.unk_token, self.unk_id, self.vocab], ensure_ascii=False)
@@ -152,12 +152,24 @@ class Pieces:
         self.tries = self.model._pieces()
         names = [*self.model.vocab, self.model.unk_token]
         self.keys, self.ids = pa.array(names, pa.string()), pa.array([*self.model.vocab.values(), self.model.unk_id], pa.int32())
-        self.place = {k: i for i, k in enumerate(self.model.vocab)}
+        self.start, self.inside = replace(self.model, vocab={k: i for i, k in enumerate(self.model.vocab)})._pieces()  # tries of places
+        self.unknown = len(self.model.vocab)
+        self.mark = "" if self.model.kind == "WordPiece" else self.model.prefix
         self.words: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        unknown, place, unk = len(self.place), self.place, (self.model.unk_token, self.model.unk_id)
-        made = array("i", [unknown if t == unk and t[0] not in place else place.get(t[0], unknown) for t in self.model.tokens(word, self.tries)]).tobytes()
+        """As :meth:`TokenizerModel.tokens`, in one loop: a corpus has many words that come once."""
+        its, found, at, first = self.mark + word, array("i"), 0, self.start
+        end = len(its)
+        while at < end:
+            node, place, i, at = first, self.unknown, at, at + 1
+            while i < end and (node := node.get(its[i])) is not None:
+                i += 1
+                if "" in node:
+                    place, at = node[""], i
+            found.append(place)
+            first = self.inside
+        made = found.tobytes()
         if len(word) <= 64:
             if len(self.words) >= WORDS_KEPT:
                 self.words.clear()
@@ -166,12 +178,37 @@ class Pieces:
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The vocabulary places of the tokens of each text, one after the other, and where each text's end, from 0 on."""
-        known, parts, ends = self.words, [], [0]
+        known, made_of, ends = self.words, [], [0]
         for text in texts.to_pylist():
             made = b"".join([known.get(w) or self._word(w) for w in _SPLIT.findall(text)]) if text else b""
-            parts.append(made)
+            made_of.append(made)
             ends.append(ends[-1] + len(made) // 4)
-        return np.frombuffer(b"".join(parts), np.int32), np.array(ends)
+        return np.frombuffer(b"".join(made_of), np.int32), np.array(ends)
+
+    def tokens(self, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Lists of (key, id) for batches of texts, one part of a batch after the other."""
+        for texts in parts(batches):
+            at, ends = self.places(texts)
+            tokens = pa.StructArray.from_arrays([self.keys.take(pa.array(at)), self.ids.take(pa.array(at))], names=["key", "id"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)
+
+
+def parts(batches: Iterator[pa.Array], most: int = PART_BYTES) -> Iterator[pa.Array]:
+    """Batches of texts in slices of at most ``most`` bytes, or one text: tokens take many times the room of their text, and a batch may have 64 MB of it."""
+    for texts in batches:
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            past = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield texts.slice(at, past - at)
+            at = past
+        if not len(texts):
+            yield texts
+
+
+def once(f):
+    """Spark would run a function again for each filter on its result that it moves below it, such as the one that it adds before an explode."""
+    return f.asNondeterministic()
 
 
 @lru_cache(maxsize=4)

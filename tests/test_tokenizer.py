@@ -1,12 +1,13 @@
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillvec.operators import embed
-from quillvec.operators.tokenizer import TokenizerModel, explode_tokens, register_udtf
+from quillvec.operators.tokenizer import PART_BYTES, Pieces, TokenizerModel, explode_tokens, parts, register_udtf
 
 META = TokenizerModel.from_vocab({"▁hello": 1, "▁he": 2, "lo": 3, "l": 4, "▁": 5, "<unk>": 0}, "Metaspace", "▁", "<unk>")
 WORD = TokenizerModel.from_vocab({"unaff": 2, "un": 3, "##aff": 4, "##able": 5, "[UNK]": 1}, "WordPiece", "##", "[UNK]")
@@ -71,6 +72,29 @@ def test_explode_and_table_function(spark):
     assert [r.key for r in spark.sql("select * from pieces('hel')").collect()] == ["▁he", "l"]
 
 
+def test_texts_come_in_parts_of_bounded_bytes():
+    for given in ([], [None], ["", None, ""], ["ab", None, "é" * 9, "", "c", "x" * 40, "d", "e"], ["x" * 99]):
+        texts = pa.array(["skipped", *given], pa.string()).slice(1)
+        made = list(parts(iter([texts]), 12))
+        assert [t for p in made for t in p.to_pylist()] == given and (made or not given)
+        assert all(len(p) == 1 or sum(len(t.encode()) for t in p.to_pylist() if t) <= 12 for p in made)
+
+
+def _in_parts(model):
+    """A batch's tokens come in parts, and never does more than one part's take room."""
+    text = "hello unaffable xy " * 500
+    texts = pa.array([text] * (8 * PART_BYTES // len(text)))
+    before, most, n, its = pa.total_allocated_bytes(), 0, 0, Pieces(model.spec())
+    for made in its.tokens(iter([texts])):
+        most, n = max(most, pa.total_allocated_bytes() - before), n + len(made)
+        assert [tuple(x.values()) for x in made[0].as_py()[:40]] == model.tokens(text)[:40]
+    assert n == len(texts) and 0 < most < 16 * PART_BYTES  # all at once take 25 times and 50 times PART_BYTES here
+
+
+def test_wordpiece_tokens_of_a_large_batch_take_bounded_memory():
+    _in_parts(WORD)
+
+
 def test_embed(spark):
     model = TokenizerModel.from_vocab({"a": 1, "b": 3, "c": 9, "<unk>": 0}, "Metaspace", "", "<unk>")
     weights = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.0]), (3, [0.0, 4.0]), (4, [4.0, 4.0])], "token_id int, vector array<double>")
