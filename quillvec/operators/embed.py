@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quillvec.operators.tokenizer import TokenizerModel, explode_tokens, pieces_of
+from quillvec.operators.tokenizer import TokenizerModel, explode_tokens, once, parts, pieces_of
 
 
 def mean_vector(df: DataFrame, by: list[str], vector: str = "vector", to: str = "vector", weight: str | None = None) -> DataFrame:
@@ -30,13 +32,15 @@ def token_counts(df: DataFrame, model: TokenizerModel, key: str = "doc_id", text
 def embed(df: DataFrame, model: TokenizerModel, weights: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = 64 << 20, strategy: str = "auto") -> DataFrame:
     """``df`` with vector: the mean vector of each text's tokens, repeated ones counting each time; null where no token has a weight.
 
-    ``weights`` has (token_id, vector), vectors of one length. If its measured size is at most ``broadcast_bytes``, the matrix goes to all tasks and each
-    text's mean is made in the pass that reads it; of several weights of one token the first by id and vector counts. Else equal tokens of a text are counted, and both sides
-    are shuffled by token; ``key`` must tell the rows apart then.
+    ``weights`` has (token_id, vector), vectors of one length. If the measured size of those that the vocabulary names is at most ``broadcast_bytes``, they go to
+    all tasks and each text's mean is made in the pass that reads it; of several weights of one token the first by id and vector counts. Else equal tokens of a text
+    are counted, and both sides are shuffled by token; ``key`` must tell the rows apart then.
     """
-    n, d = weights.agg(F.count("*"), F.max(F.size("vector"))).first()
+    named = pa.table({"_token": pa.array(sorted({*model.vocab.values(), model.unk_id}), pa.int64())})
+    known = weights.join(F.broadcast(df.sparkSession.createDataFrame(named)), F.col("token_id") == F.col("_token"), "left_semi")
+    n, d = known.agg(F.count("*"), F.max(F.size("vector"))).first()
     if n * (d or 0) * 8 <= broadcast_bytes and strategy != "regex":
-        return df.withColumn("vector", _means(df.sparkSession, model, weights, d or 0)(F.col(text)))
+        return df.withColumn("vector", _means(df.sparkSession, model, known, d or 0)(F.col(text)))
     side = weights.select(F.col("token_id").alias("_token"), F.col("vector").alias("_v"))
     counts = token_counts(df, model, key, text, strategy)
     joined = counts.join(side, F.col("token_id") == F.col("_token"))
@@ -45,7 +49,7 @@ def embed(df: DataFrame, model: TokenizerModel, weights: DataFrame, key: str = "
 
 def _means(spark: SparkSession, model: TokenizerModel, weights: DataFrame, d: int):
     """A function of a text column: the mean of its tokens' vectors, in products of a small matrix for each text."""
-    held = weights.where(F.col("token_id").isNotNull() & (F.size("vector") == d)).select(F.col("token_id").cast("long").alias("t"), F.col("vector").cast("array<double>").alias("v")).toArrow()
+    held = weights.where(F.size("vector") == d).select(F.col("token_id").cast("long").alias("t"), F.col("vector").cast("array<double>").alias("v")).toArrow()
     ids = held.column("t").to_numpy()
     matrix = np.array(held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), d)
     order = np.lexsort((*matrix.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids)
@@ -53,22 +57,23 @@ def _means(spark: SparkSession, model: TokenizerModel, weights: DataFrame, d: in
     sent = spark.sparkContext.broadcast((model.spec(), ids, matrix[order][first]))
 
     @F.arrow_udf(ArrayType(DoubleType()))
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spec, ids, matrix = sent.value
         its = pieces_of(spec)
         tokens = its.ids.to_numpy().astype(np.int64)
         row = np.searchsorted(ids, tokens).clip(0, max(0, len(ids) - 1))
         row = np.where(ids[row] == tokens, row, -1) if len(ids) else np.full(len(tokens), -1)
-        at, ends = its.places(texts)
-        rows, out, none = row[at], np.zeros((len(texts), matrix.shape[1])), np.ones(len(texts), bool)
-        for i, (a, z) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
-            mine = rows[a:z]
-            mine = mine[mine >= 0]
-            if len(mine):
-                use, n = np.unique(mine, return_counts=True)
-                out[i], none[i] = n @ matrix[use] / len(mine), False
-        sizes = np.where(none, 0, out.shape[1])
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(out[~none].ravel()), mask=pa.array(none))
+        for texts in parts(batches):
+            at, ends = its.places(texts)
+            rows, out, none = row[at], np.zeros((len(texts), matrix.shape[1])), np.ones(len(texts), bool)
+            for i, (a, z) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
+                mine = rows[a:z]
+                mine = mine[mine >= 0]
+                if len(mine):
+                    use, n = np.unique(mine, return_counts=True)
+                    out[i], none[i] = n @ matrix[use] / len(mine), False
+            sizes = np.where(none, 0, out.shape[1])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(out[~none].ravel()), mask=pa.array(none))
 
-    return run
+    return once(run)

@@ -33,6 +33,12 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 
+@pytest.mark.parametrize("name", ["search_concat"])
+def test_texts_are_tokenised_once(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

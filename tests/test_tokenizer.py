@@ -123,3 +123,11 @@ def test_means_of_both_ways_agree(spark):
     assert set(near) == set(far) and all((near[d] is None) == (far[d] is None) for d in near)
     assert all(abs(x - y) < 1e-12 for d in near if near[d] for x, y in zip(near[d], far[d], strict=True))
     assert near[2] is near[3] is None and near[4] is not None
+
+
+def test_only_weights_that_the_vocabulary_names_count_for_the_bound(spark):
+    weights = spark.range(5000).select(F.col("id").cast("int").alias("token_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    df = spark.createDataFrame([(1, "hello"), (2, "l"), (3, "x"), (4, None)], "doc_id int, text string")
+    made = embed.embed(df, META, weights, broadcast_bytes=6 * 16)
+    assert "Join" not in made._jdf.queryExecution().toString()
+    assert {r.doc_id: r.vector for r in made.collect()} == {1: [1.0, 1.0], 2: [4.5, 1.0], 3: [2.5, 1.0], 4: None}
