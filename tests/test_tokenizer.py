@@ -95,6 +95,10 @@ def test_wordpiece_tokens_of_a_large_batch_take_bounded_memory():
     _in_parts(WORD)
 
 
+def test_metaspace_tokens_of_a_large_batch_take_bounded_memory():
+    _in_parts(META)
+
+
 def test_embed(spark):
     model = TokenizerModel.from_vocab({"a": 1, "b": 3, "c": 9, "<unk>": 0}, "Metaspace", "", "<unk>")
     weights = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.0]), (3, [0.0, 4.0]), (4, [4.0, 4.0])], "token_id int, vector array<double>")
