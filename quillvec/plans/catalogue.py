@@ -306,10 +306,10 @@ def unk_count(spark, sf_dir):
 @query(f"""WITH {_TOKENS}, t AS (SELECT doc_id, coalesce(vocab.id, 0) AS id FROM (SELECT doc_id, unnest(ps) AS x FROM p) LEFT JOIN vocab ON key = x)
 SELECT count(*) AS n_tokens, count(vec_id) AS n_valid FROM t LEFT JOIN embeddings ON vec_id = id""")
 def valid_token_filter(spark, sf_dir):
-    counts = embed.token_counts(table(spark, sf_dir, "documents"), metaspace())
+    tokens = table(spark, sf_dir, "documents").select(F.explode(metaspace().tokenize("text")).alias("t"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id")
-    both = counts.groupBy("token_id").agg(F.sum("n").alias("n")).join(rows, F.col("token_id") == F.col("vec_id"), "left")
-    return both.agg(F.sum("n").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("vec_id").isNotNull(), F.col("n"))), F.lit(0)).alias("n_valid"))
+    both = tokens.groupBy(F.col("t.id").alias("token_id")).agg(F.count("*").alias("n")).join(rows, F.col("token_id") == F.col("vec_id"), "left")
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("vec_id").isNotNull(), F.col("n"))), F.lit(0)).alias("n_valid"))
 
 
 _EMBEDDED = f"""{_TOKENS}, t AS (SELECT doc_id, coalesce(vocab.id, 0) AS id, count(*) AS n FROM (SELECT doc_id, unnest(ps) AS x FROM p) LEFT JOIN vocab ON key = x GROUP BY 1, 2),

@@ -33,12 +33,17 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["search_concat", "tokenize_metaspace"])
+@pytest.mark.parametrize("name", ["search_concat", "tokenize_metaspace", "valid_token_filter"])
 def test_texts_are_tokenised_once(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_tokens_are_summed_before_they_are_shuffled(spark):
+    plan = catalogue.valid_token_filter(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "doc_id" not in plan.split("Generate")[0]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
