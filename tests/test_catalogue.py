@@ -33,7 +33,7 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["embed_mean", "search_concat", "tokenize_metaspace", "valid_token_filter"])
+@pytest.mark.parametrize("name", ["embed_mean", "search_concat", "text_search_top1", "tokenize_metaspace", "valid_token_filter"])
 def test_texts_are_tokenised_once(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
