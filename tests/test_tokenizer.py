@@ -135,3 +135,8 @@ def test_only_weights_that_the_vocabulary_names_count_for_the_bound(spark):
     made = embed.embed(df, META, weights, broadcast_bytes=6 * 16)
     assert "Join" not in made._jdf.queryExecution().toString()
     assert {r.doc_id: r.vector for r in made.collect()} == {1: [1.0, 1.0], 2: [4.5, 1.0], 3: [2.5, 1.0], 4: None}
+
+
+def test_tokens_may_be_summed_in_the_select_that_makes_them(spark):
+    df = spark.createDataFrame([("hello xy",), (None,), ("l",)], "t string")
+    assert df.select(F.sum(F.size(META.tokenize("t"))).alias("n")).first().n == 6
